@@ -1,0 +1,154 @@
+"""Parsers that carry state from line to line, as windows over the lines of a log."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from patchloom.functions import text as tx
+from patchloom.operators.logs.base import ERROR, FAILED, Hit, PASSED, SKIPPED, hits_to_rows, last_wins, line_window, log_lines
+
+# Patterns of testdox, Maven and Gradle output.
+TESTDOX_SUITE = r"^(\w.+) \(.+\)$"
+TESTDOX_TEST = r"^\s*([✔✘↩])\s*(.*)$"
+TESTDOX_STATUS = {"✔": PASSED, "✘": FAILED, "↩": SKIPPED}
+MAVEN_TEST = r"^.*-Dtest=(\S+).*$"
+MAVEN_RESULT = r"^.*BUILD (SUCCESS|FAILURE)$"
+GRADLE_FULL = r"^([^>].+)\s+(PASSED|FAILED)$"
+GRADLE_NAME = r"^([^>]\S*\s+>\s+\S+)$"
+GRADLE_STATUS = r"^(PASSED|FAILED)$"
+
+# Phrases of Django's test runner.
+DJANGO_VERSION_TEST = "--version is equivalent to version"
+DJANGO_OK_SUFFIXES = (" ... ok", " ... OK", " ...  OK")
+DJANGO_MIGRATION_PREFIX = "Applying sites.0002_alter_domain_unique...test_no_migrations"
+DJANGO_MULTILINE = (
+    r"^(.*?)\s\.\.\.\sTesting\ against\ Django\ installed\ in\ ((?s:.*?))\ silenced\)\.\nok$",
+    r"^(.*?)\s\.\.\.\sInternal\ Server\ Error:\ \/(.*)\/\nok$",
+    r"^(.*?)\s\.\.\.\sSystem check identified no issues \(0 silenced\)\nok$",
+)
+
+
+def parse_phpunit(logs: DataFrame, keys: list[str]) -> DataFrame:
+    line = F.col("line")
+    suite_p, test_p = tx.rx(TESTDOX_SUITE), tx.rx(TESTDOX_TEST)
+    marked = log_lines(logs, keys).withColumn("suite", tx.group(line, TESTDOX_SUITE, 1)).filter(
+        F.col("suite").isNotNull() | line.rlike(test_p)
+    )
+    carried = marked.withColumn("in_suite", F.last("suite", ignorenulls=True).over(line_window(keys)))
+    code = F.regexp_extract(line, test_p, 1)
+    status = F.lit(None).cast("string")
+    for mark, value in TESTDOX_STATUS.items():
+        status = F.when(code == mark, F.lit(value)).otherwise(status)
+    # a test before any suite line is named after the missing suite
+    name = F.concat(F.coalesce("in_suite", F.lit("None")), F.lit(" > "), F.regexp_extract(line, test_p, 2))
+    rows = hits_to_rows(carried, keys, [Hit(F.col("suite").isNull() & ~line.rlike(suite_p), name, status)])
+    return last_wins(rows, keys)
+
+
+def parse_gradle(logs: DataFrame, keys: list[str]) -> DataFrame:
+    t = F.col("t")
+    full, name, bare = (tx.rx(p) for p in (GRADLE_FULL, GRADLE_NAME, GRADLE_STATUS))
+    kind = F.when(t.rlike(full), "full").when(t.rlike(name), "name").when(t.rlike(bare), "status")
+    events = (
+        log_lines(logs, keys)
+        .select(*keys, "line_no", tx.strip(F.col("line")).alias("t"))
+        .withColumn("kind", kind)
+        .filter(F.col("kind").isNotNull())
+    )
+    w = line_window(keys)
+    # a bare status only counts for a name line right before it among these events
+    seen = events.withColumn("before", F.lag("kind").over(w)).withColumn("before_text", F.lag("t").over(w))
+    hits = [
+        Hit(F.col("kind") == "full", F.regexp_extract(t, full, 1), F.regexp_extract(t, full, 2)),
+        Hit((F.col("kind") == "status") & (F.col("before") == "name"), F.col("before_text"), t),
+    ]
+    return last_wins(hits_to_rows(seen, keys, hits), keys)
+
+
+def parse_maven(logs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pair test commands with build results first-in first-out.
+
+    With ``tests`` and ``results`` counted so far, ``late = max(0, running max of
+    results - tests)`` is how many results came while no test was waiting. Such a
+    result raises ``late``; every other result belongs to test number
+    ``results - late``. Results that came too early are paired at the end with the
+    tests still waiting.
+    """
+    t = tx.strip(F.col("line"))
+    test_p, result_p = tx.rx(MAVEN_TEST), tx.rx(MAVEN_RESULT)
+    none = F.lit(None).cast("string")
+    events = (
+        log_lines(logs, keys)
+        .filter(t.rlike(test_p) | t.rlike(result_p))
+        .select(*keys, "line_no", F.explode(F.array(
+            F.struct(F.lit(0).alias("pos"), F.when(t.rlike(test_p), F.regexp_extract(t, test_p, 1)).alias("test"), none.alias("result")),
+            F.struct(F.lit(1).alias("pos"), none.alias("test"), F.when(t.rlike(result_p), F.regexp_extract(t, result_p, 1)).alias("result")),
+        )).alias("e"))
+        .select(*keys, "line_no", "e.*")
+        .filter(F.col("test").isNotNull() | F.col("result").isNotNull())
+    )
+    w = Window.partitionBy(*keys).orderBy("line_no", "pos")
+    whole = Window.partitionBy(*keys)
+    counted = (
+        events.withColumn("tests", F.count("test").over(w))
+        .withColumn("results", F.count("result").over(w))
+        .withColumn("late", F.greatest(F.lit(0), F.max(F.col("results") - F.col("tests")).over(w)))
+        .withColumn("late_before", F.coalesce(F.lag("late").over(w), F.lit(0)))
+        .withColumn("paired", F.max("results").over(whole) - F.max("late").over(whole))
+    )
+    is_late = F.col("late") > F.col("late_before")
+    results = counted.filter(F.col("result").isNotNull()).select(
+        *keys,
+        F.when(is_late, F.col("paired") + F.col("late")).otherwise(F.col("results") - F.col("late")).alias("nr"),
+        is_late.cast("int").alias("rank"), "line_no", "pos",
+        F.when(F.col("result") == "SUCCESS", PASSED).otherwise(FAILED).alias("status"),
+    )
+    tests = counted.filter(F.col("test").isNotNull()).select(*keys, F.col("tests").alias("nr"), "test")
+    return last_wins(results.join(tests, [*keys, "nr"]), keys)
+
+
+def _django_line_hits() -> list[Hit]:
+    t = F.col("t")
+    ok = tx.ends_with_any(t, DJANGO_OK_SUFFIXES)
+    suffix_len = F.when(t.endswith(DJANGO_OK_SUFFIXES[2]), len(DJANGO_OK_SUFFIXES[2])).otherwise(len(DJANGO_OK_SUFFIXES[0]))
+    # one migration message glues its test name to the text before it
+    u = F.col("u")
+
+    def before(c: Column, sep: str) -> Column:
+        return F.substring_index(c, sep, 1)
+
+    return [
+        Hit(t.contains(DJANGO_VERSION_TEST), F.lit(DJANGO_VERSION_TEST), F.lit(PASSED)),
+        Hit(ok, F.substr(u, F.lit(1), F.length(u) - suffix_len), F.lit(PASSED)),
+        Hit(u.contains(" ... skipped"), before(u, " ... skipped"), F.lit(SKIPPED)),
+        Hit(u.endswith(" ... FAIL"), before(u, " ... FAIL"), F.lit(FAILED)),
+        Hit(u.startswith("FAIL:"), tx.word(u, 1), F.lit(FAILED)),
+        Hit(u.endswith(" ... ERROR"), before(u, " ... ERROR"), F.lit(ERROR)),
+        Hit(u.startswith("ERROR:"), tx.word(u, 1), F.lit(ERROR)),
+        Hit(u.startswith("ok") & F.col("prev").isNotNull(), F.col("prev"), F.lit(PASSED)),
+    ]
+
+
+def parse_django(logs: DataFrame, keys: list[str]) -> DataFrame:
+    t = F.col("t")
+    glued = tx.ends_with_any(t, DJANGO_OK_SUFFIXES) & t.startswith(DJANGO_MIGRATION_PREFIX)
+    # only lines that can set or use the state travel to the window
+    relevant = (
+        t.contains(DJANGO_VERSION_TEST) | t.contains(" ... ") | t.contains(" ...  OK")
+        | tx.ends_with_any(t, (" ... ok", " ... OK", " ... FAIL", " ... ERROR"))
+        | tx.starts_with_any(t, ("FAIL:", "ERROR:", "ok"))
+    )
+    lines = (
+        log_lines(logs, keys)
+        .select(*keys, "line_no", tx.strip(F.col("line")).alias("t"))
+        .filter(relevant)
+        .withColumn("u", F.when(glued, tx.strip(tx.after_first(t, "..."))).otherwise(t))
+        .withColumn("prev_here", F.when(t.contains(" ... "), F.substring_index(t, " ... ", 1)))
+        .withColumn("prev", F.last("prev_here", ignorenulls=True).over(line_window(keys)))
+    )
+    rows = hits_to_rows(lines, keys, _django_line_hits())
+    over_lines = F.concat(*[tx.find_all(F.col("log"), p, 1, flags="m") for p in DJANGO_MULTILINE])
+    late = logs.select(*keys, F.posexplode(over_lines).alias("pos", "test")).select(
+        *keys, F.lit(1).alias("rank"), F.lit(0).alias("line_no"), "pos", "test", F.lit(PASSED).alias("status")
+    )
+    return last_wins(rows.unionByName(late), keys)
