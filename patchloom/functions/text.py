@@ -40,8 +40,10 @@ def words(c: Column) -> Column:
 
 
 def word(c: Column, i: int) -> Column:
-    """The i-th word (0-based) or null."""
-    return F.get(words(c), F.lit(i))
+    """The i-th word (0-based) or null; reads no further than that word."""
+    not_space = "[^" + PY_SPACE + "]+"
+    p = f"^{PY_SPACE_CLASS}*(?:{not_space}{PY_SPACE_CLASS}+){{{i}}}({not_space})"
+    return F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
 
 
 def word_count(c: Column) -> Column:

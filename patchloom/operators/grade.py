@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import text as tx
 from patchloom.operators.logs.base import ERROR, FAILED, PASSED, XFAIL
-from patchloom.operators.logs.dispatch import FAIL_ONLY_REPOS
+from patchloom.operators.logs.dispatch import FAIL_ONLY_REPOS, parse_test_logs, parse_with
 
 # Markers an evaluation run writes into its log.
 START_MARK = ">>>>> Start Test Output"
@@ -45,16 +43,15 @@ def log_window(logs: DataFrame, log: str = "log") -> DataFrame:
     return logs.withColumn("found", F.coalesce(found, F.lit(False))).withColumn("body", F.when(F.col("found"), body))
 
 
-def parse_found_logs(logs: DataFrame, keys: list[str], parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def parse_found_logs(logs: DataFrame, keys: list[str], parser: str | None = None) -> DataFrame:
     """Status rows of found logs: from the marked part, or, if that yields none, from the whole log.
 
-    ``parse`` maps a frame with ``log`` to (keys, test, status). Only logs whose
-    marked part was empty are parsed a second time.
+    Without ``parser``, ``logs`` names the format of each log in a ``parser`` column.
     """
     found = log_window(logs).filter("found")
-    inside = parse(found.withColumn("log", F.col("body")).drop("body", "found"))
-    empty = found.drop("body", "found").join(inside.select(*keys).distinct(), keys, "left_anti")
-    return inside.unionByName(parse(empty))
+    if parser:
+        return parse_with(found, keys, parser, body="body")
+    return parse_test_logs(found, keys, body="body")
 
 
 def outcome(status: Column, fail_only: Column) -> Column:

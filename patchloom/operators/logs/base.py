@@ -41,29 +41,34 @@ def log_lines(logs: DataFrame, keys: list[str], log: str = "log") -> DataFrame:
     return logs.select(*keys, F.posexplode(tx.lines(F.col(log))).alias("line_no", "line"))
 
 
-def hits_to_rows(lines: DataFrame, keys: list[str], hits: list[Hit]) -> DataFrame:
-    """(keys, rank, line_no, pos, test, status), one row per rule that fired."""
-    if len(hits) == 1:
-        h = hits[0]
-        return lines.filter(h.cond).select(
-            *keys, F.lit(h.rank).alias("rank"), "line_no", F.lit(0).alias("pos"),
-            h.test.alias("test"), h.status.alias("status"),
-        ).filter(F.col("test").isNotNull() & F.col("status").isNotNull())
-    found = F.filter(
+def _fired(hits: list[Hit], line_no: Column) -> Column:
+    """The rules that fired on one line, as an array of structs."""
+    return F.filter(
         F.array(*[
             F.when(h.cond, F.struct(
-                F.lit(h.rank).alias("rank"), F.lit(i).alias("pos"), h.test.alias("test"), h.status.alias("status")))
+                F.lit(h.rank).alias("rank"), line_no.alias("line_no"), F.lit(i).alias("pos"),
+                h.test.alias("test"), h.status.alias("status")))
             for i, h in enumerate(hits)
         ]),
-        lambda s: s.isNotNull(),
-    )
-    return (
-        lines.select(*keys, "line_no", F.explode(found).alias("h"))
-        .select(*keys, "h.rank", "line_no", "h.pos", "h.test", "h.status")
-        .filter(F.col("test").isNotNull() & F.col("status").isNotNull())
+        lambda s: s["test"].isNotNull() & s["status"].isNotNull(),
     )
 
 
+def hits_to_rows(lines: DataFrame, keys: list[str], hits: list[Hit]) -> DataFrame:
+    """(keys, rank, line_no, pos, test, status), one row per rule that fired."""
+    return lines.select(*keys, F.explode(_fired(hits, F.col("line_no"))).alias("h")).select(*keys, "h.*")
+
+
+def hits_of_log(log: Column, rule: Callable[[Column], list[Hit]]) -> Column:
+    """All hits of a line rule in a log, without leaving the log's row."""
+    return F.flatten(F.transform(tx.lines(log), lambda line, i: _fired(rule(line), i)))
+
+
+def first_non_empty(hits: Column, other: Column) -> Column:
+    """``hits`` unless empty, else ``other``; the one-item array names ``hits`` so it runs once."""
+    return F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) > 0, h).otherwise(other)), F.lit(0))
+
+
 def last_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The status of the last hit of each test; combined before the shuffle."""
     return rows.groupBy(*keys, "test").agg(
@@ -76,8 +81,13 @@ def line_window(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("line_no")
 
 
-def fold_logs(logs: DataFrame, keys: list[str], fold: Callable[[str], Iterable[tuple[str, str]]]) -> DataFrame:
-    """Run a small sequential ``fold`` over each log value; later pairs win."""
+def fold_logs(
+    logs: DataFrame, keys: list[str], fold: Callable[[str], Iterable[tuple[str, str]]], body: str | None = None
+) -> DataFrame:
+    """Run a small sequential ``fold`` over each log value; later pairs win.
+
+    With ``body``, that column is read first and the whole log only if it yields nothing.
+    """
     schema = T.StructType(
         [logs.schema[k] for k in keys] + [T.StructField("test", T.StringType()), T.StructField("status", T.StringType())]
     )
@@ -86,9 +96,12 @@ def fold_logs(logs: DataFrame, keys: list[str], fold: Callable[[str], Iterable[t
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                *ids, log = row
-                for test, status in dict(fold(log) if log else ()).items():
+                *ids, log, part = row
+                found = dict(fold(part)) if part else {}
+                if not found and log and part != log:
+                    found = dict(fold(log))
+                for test, status in found.items():
                     out.append((*ids, test, status))
             yield pd.DataFrame(out, columns=[*keys, "test", "status"])
 
-    return logs.select(*keys, "log").mapInPandas(run, schema)
+    return logs.select(*keys, "log", F.col(body or "log").alias("_part")).mapInPandas(run, schema)

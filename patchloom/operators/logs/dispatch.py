@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.operators.logs import stateful
-from patchloom.operators.logs.base import FAILED, fold_logs, hits_to_rows, last_wins, log_lines
+from patchloom.operators.logs.base import FAILED, first_non_empty, fold_logs, hits_of_log, last_wins
 from patchloom.operators.logs.folds import FOLDS
 from patchloom.operators.logs.line_rules import LINE_RULES, chart_js_failures
 
@@ -68,27 +68,21 @@ INSTANCE_PARSERS: dict[tuple[str, str], str] = {
 FAIL_ONLY_REPOS = ("chartjs/Chart.js", "processing/p5.js", "markedjs/marked")
 
 
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """Value of a small fixed table, null for an unknown key."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
 def language_of(repo: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for lang, repos in REPO_PARSERS.items():
-        out = F.when(repo.isin(*repos), F.lit(lang)).otherwise(out)
-    return out
+    return _lookup({r: lang for lang, repos in REPO_PARSERS.items() for r in repos}, repo)
 
 
 def parser_of(repo: Column, instance_id: Column) -> Column:
     """Parser name, or null when repository and pull request have none."""
+    by_repo = {r: p for repos in REPO_PARSERS.values() for r, p in repos.items() if p != "by_instance"}
+    by_pull = {f"{r}-{pr}": p for (r, pr), p in INSTANCE_PARSERS.items()}
     number = F.regexp_extract(instance_id, r"-([^-]*)$", 1)
-    out = F.lit(None).cast("string")
-    by_parser: dict[str, list[str]] = {}
-    for repos in REPO_PARSERS.values():
-        for name, parser in repos.items():
-            by_parser.setdefault(parser, []).append(name)
-    for parser, names in by_parser.items():
-        if parser != "by_instance":
-            out = F.when(repo.isin(*names), F.lit(parser)).otherwise(out)
-    for (name, pr), parser in INSTANCE_PARSERS.items():
-        out = F.when((repo == name) & (number == pr), F.lit(parser)).otherwise(out)
-    return out
+    return F.coalesce(_lookup(by_repo, repo), _lookup(by_pull, F.concat(repo, F.lit("-"), number)))
 
 
 def _chart_js(logs: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,46 +101,53 @@ WHOLE_LOG = {
 PARSERS = sorted([*LINE_RULES, *WHOLE_LOG, *FOLDS])
 
 
-def parse_with(logs: DataFrame, keys: list[str], parser: str) -> DataFrame:
-    """(keys, test, status) of logs that all have one format."""
-    if parser in LINE_RULES:
-        hits = LINE_RULES[parser](F.col("line"))
-        return last_wins(hits_to_rows(log_lines(logs, keys), keys, hits), keys)
-    if parser in WHOLE_LOG:
-        return WHOLE_LOG[parser](logs, keys)
-    return fold_logs(logs, keys, FOLDS[parser])
+def _line_status(logs: DataFrame, keys: list[str], hits: Column) -> DataFrame:
+    return last_wins(logs.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*"), keys)
+
+
+def _line_hits(name: str, body: str | None) -> Column:
+    rule, whole = LINE_RULES[name], F.col("log")
+    if body is None:
+        return hits_of_log(whole, rule)
+    return first_non_empty(hits_of_log(F.col(body), rule), hits_of_log(whole, rule))
 
 
-def parse_test_logs(logs: DataFrame, keys: list[str], only: list[str] | None = None) -> DataFrame:
+def parse_with(logs: DataFrame, keys: list[str], parser: str, body: str | None = None) -> DataFrame:
+    """(keys, test, status) of logs that all have one format.
+
+    With ``body``, that column is parsed first and the whole ``log`` only where it
+    yields nothing.
+    """
+    if parser in LINE_RULES:
+        return _line_status(logs, keys, _line_hits(parser, body))
+    if parser in FOLDS:
+        return fold_logs(logs, keys, FOLDS[parser], body)
+    parse = WHOLE_LOG[parser]
+    if body is None:
+        return parse(logs.select(*keys, "log"), keys)
+    inside = parse(logs.select(*keys, F.col(body).alias("log")), keys)
+    empty = logs.select(*keys, "log").join(inside.select(*keys).distinct(), keys, "left_anti")
+    return inside.unionByName(parse(empty, keys))
+
+
+def parse_test_logs(
+    logs: DataFrame, keys: list[str], only: list[str] | None = None, body: str | None = None
+) -> DataFrame:
     """(keys, test, status) for logs of mixed formats; ``logs`` has a ``parser`` column.
 
-    All line formats share one pass: each line is tested only against the rules of
-    its own log. The other formats read the logs they apply to.
+    All line formats share one pass: each log is tested only against its own rules.
+    The other formats read the logs they apply to.
     """
     names = only or PARSERS
-    line_names = [n for n in names if n in LINE_RULES]
     parts = []
+    line_names = [n for n in names if n in LINE_RULES]
     if line_names:
-        lines = log_lines(logs.filter(F.col("parser").isin(*line_names)), [*keys, "parser"])
         found = None
         for n in line_names:
-            options = F.filter(
-                F.array(*[
-                    F.when(h.cond, F.struct(F.lit(h.rank).alias("rank"), F.lit(i).alias("pos"),
-                                            h.test.alias("test"), h.status.alias("status")))
-                    for i, h in enumerate(LINE_RULES[n](F.col("line")))
-                ]),
-                lambda s: s.isNotNull(),
-            )
             cond = F.col("parser") == n
-            found = F.when(cond, options) if found is None else found.when(cond, options)
-        rows = (
-            lines.select(*keys, "line_no", F.explode(found).alias("h"))
-            .select(*keys, "h.rank", "line_no", "h.pos", "h.test", "h.status")
-            .filter(F.col("test").isNotNull() & F.col("status").isNotNull())
-        )
-        parts.append(last_wins(rows, keys))
+            found = F.when(cond, _line_hits(n, body)) if found is None else found.when(cond, _line_hits(n, body))
+        parts.append(_line_status(logs.filter(F.col("parser").isin(*line_names)), keys, found))
     for n in names:
         if n not in LINE_RULES:
-            parts.append(parse_with(logs.filter(F.col("parser") == n), keys, n))
+            parts.append(parse_with(logs.filter(F.col("parser") == n), keys, n, body))
     return reduce(lambda a, b: a.unionByName(b), parts)

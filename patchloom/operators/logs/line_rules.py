@@ -76,23 +76,25 @@ for _name in CODED_PATTERNS:
     LINE_RULES[_name] = _coded(_name)
 
 
-def _status_first(line: Column) -> tuple[Column, Column]:
-    """(condition, words) of a line that starts with a status word."""
+_TWO_WORDS = f"^[^{tx.PY_SPACE}]+{tx.PY_SPACE_CLASS}+[^{tx.PY_SPACE}]"
+
+
+def _status_first(line: Column) -> tuple[Column, Column, Column]:
+    """(condition, first word, second word) of a line that starts with a status word."""
     text = F.when(line.startswith(FAILED), F.replace(line, F.lit(" - "), F.lit(" "))).otherwise(line)
-    parts = tx.words(text)
-    return tx.starts_with_any(line, STATUS_WORDS) & (F.size(parts) > 1), parts
+    cond = tx.starts_with_any(line, STATUS_WORDS) & text.rlike(_TWO_WORDS)
+    return cond, tx.word(text, 0), tx.word(text, 1)
 
 
 @line_rule("pytest")
 def pytest_rule(line: Column) -> list[Hit]:
-    cond, parts = _status_first(line)
-    return [Hit(cond, F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))]
+    cond, status, test = _status_first(line)
+    return [Hit(cond, test, status)]
 
 
 @line_rule("pytest_options")
 def pytest_options_rule(line: Column) -> list[Hit]:
-    cond, parts = _status_first(line)
-    name = F.get(parts, F.lit(1))
+    cond, status, name = _status_first(line)
     p = tx.rx(OPTION_PATTERN)
     option = F.regexp_extract(name, p, 2)
     short = F.when(
@@ -102,19 +104,19 @@ def pytest_options_rule(line: Column) -> list[Hit]:
     test = F.when(
         name.rlike(p), F.concat(F.regexp_extract(name, p, 1), F.lit("["), short, F.lit("]"))
     ).otherwise(name)
-    return [Hit(cond, test, F.get(parts, F.lit(0)))]
+    return [Hit(cond, test, status)]
 
 
 @line_rule("pytest_v2")
 def pytest_v2_rule(line: Column) -> list[Hit]:
     clean = F.translate(F.regexp_replace(line, tx.rx(COLOUR_PATTERN), ""), CONTROL_CHARS, "")
-    cond, parts = _status_first(clean)
-    tail = tx.words(clean)
-    ends = ~tx.starts_with_any(clean, STATUS_WORDS) & tx.ends_with_any(clean, STATUS_WORDS) & (F.size(tail) > 1)
-    return [
-        Hit(cond, F.get(parts, F.lit(1)), F.get(parts, F.lit(0))),
-        Hit(ends, F.get(tail, F.lit(0)), F.get(tail, F.lit(1))),
-    ]
+    cond, status, test = _status_first(clean)
+    ends = (
+        ~tx.starts_with_any(clean, STATUS_WORDS)
+        & tx.ends_with_any(clean, STATUS_WORDS)
+        & tx.word(clean, 1).isNotNull()
+    )
+    return [Hit(cond, test, status), Hit(ends, tx.word(clean, 0), tx.word(clean, 1))]
 
 
 @line_rule("matplotlib")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from patchloom.operators import grade
-from patchloom.operators.logs.dispatch import language_of, parse_with
+from patchloom.operators.logs.dispatch import language_of
 from patchloom.plans import sqltext as st
 from patchloom.plans.registry import query
 from patchloom.plans.views import load
@@ -15,9 +15,7 @@ KEYS = ["model", "instance_id"]
 
 def _log_status(spark, sf_dir):
     logs = load(spark, sf_dir, "v_logs")
-    return grade.parse_found_logs(
-        logs.select(*KEYS, "log"), KEYS, lambda x: parse_with(x, KEYS, "pytest")
-    )
+    return grade.parse_found_logs(logs.select(*KEYS, "log"), KEYS, "pytest")
 
 
 # --- SQL side of the log chain ------------------------------------------------------

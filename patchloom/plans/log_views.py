@@ -7,7 +7,7 @@ repeat inside a log with other outcomes, so the last-wins rule is exercised.
 
 from __future__ import annotations
 
-from patchloom.plans.views import NL, template, view
+from patchloom.plans.views import NL, q, view
 
 TEMPLATES: dict[str, list[str]] = {
     "pytest": ["PASSED t{n}", "FAILED t{n} - msg é", "SKIPPED [{n}] t.py:3: why", "XFAIL t{n} reason", "noise {n}",
@@ -68,16 +68,26 @@ TEMPLATES: dict[str, list[str]] = {
 LINES_PER_LOG = {"maven": 10, "gradle": 10, "django": 10, "phpunit": 8, "karma": 10, "calypso": 10, "p5js": 8}
 
 
+_SEP, _MARKS = "§", {"\n": "¶", "\x1b": "¤", "\t": "¬"}
+
+
 def _log_sql(kinds: list[str], n_lines: int, extra: str = "") -> str:
-    parts = []
-    for i in range(n_lines):
-        whens = " ".join(f"WHEN {j} THEN {template(t, n='n' + str(i % 3))}" for j, t in enumerate(kinds))
-        parts.append(f"CASE (et + {i} * st + {i // 2}) % {len(kinds)} {whens} END")
-    body = f" || {NL} || ".join(parts)
+    joined = _SEP.join(kinds)
+    for char, mark in _MARKS.items():
+        joined = joined.replace(char, mark)
+    lines = [
+        f"replace(split_part({q(joined)}, '{_SEP}', CAST(1 + (et + {i} * st + {i // 2}) % {len(kinds)} AS INT)), '{{n}}', n{i % 3})"
+        for i in range(n_lines)
+    ]
+    body = f" || {NL} || ".join(lines)
+    for char, mark in _MARKS.items():
+        if mark in joined:
+            body = f"replace({body}, '{mark}', chr({ord(char)}))"
+    number = ", ".join(f"CAST((user_id + {i}) % 17 AS STRING) AS n{i}" for i in range(3))
     return (
         f"SELECT event_id AS log_id{extra}, {body} AS log FROM (SELECT event_id, user_id, "
         "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END + event_id % 3 AS et, "
-        "1 + event_id % 4 AS st, user_id % 17 AS n0, (user_id + 1) % 17 AS n1, (user_id + 2) % 17 AS n2 FROM events) e"
+        f"1 + event_id % 4 AS st, {number} FROM events) e"
     )
 
 
@@ -108,5 +118,5 @@ _PR_CASE = "CASE event_id % 4 WHEN 0 THEN '2006' WHEN 1 THEN '2005' WHEN 2 THEN
 view(
     "v_mixed_logs",
     _log_sql(_MIXED_KINDS, 8, f", {_REPO_CASE} AS repo, replace({_REPO_CASE}, '/', '__') || '-' || {_PR_CASE} AS instance_id"),
-    texts=("log",),
+    texts=("repo", "instance_id", "log"),
 )

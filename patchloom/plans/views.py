@@ -106,25 +106,6 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def template(text: str, **names: str) -> str:
-    """SQL expression for ``text`` with ``{name}`` replaced by SQL expressions.
-
-    Control characters are written as chr(), since the engines escape differently.
-    """
-    out = []
-    for piece in re.split(r"(\{\w+\}|[\x00-\x1f\\])", text):
-        if not piece:
-            continue
-        m = re.fullmatch(r"\{(\w+)\}", piece)
-        if m:
-            out.append(f"CAST({names[m.group(1)]} AS STRING)")
-        elif len(piece) == 1 and (ord(piece) < 32 or piece == "\\"):
-            out.append(f"chr({ord(piece)})")
-        else:
-            out.append(q(piece))
-    return "(" + " || ".join(out) + ")" if out else "''"
-
-
 # --- repositories -----------------------------------------------------------------
 
 # A few well-known repositories take part because some rules depend on them.
