@@ -12,6 +12,7 @@ unbounded group into one value.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -59,15 +60,49 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+_LOADED: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """Analyse an input once per session and folder; the plan stays lazy."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
+    if key not in _LOADED:
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _once(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view (or given table) as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
-    return hold(run_sql(spark, sf_dir, f"SELECT * FROM {name}"), *TEXTS[name])
+    return _once(
+        spark, sf_dir, name, lambda: hold(_define(spark, sf_dir, VIEWS[name]), *TEXTS[name])
+    )
+
+
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """``sql`` over given tables and views."""
+    return _define(spark, sf_dir, sql)
+
+
+def _define(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run ``sql`` with every table and view it names bound to a temporary view of this folder."""
+    tag = f"{zlib.crc32(sf_dir.rstrip('/').encode()):08x}"
+
+    def bind(m: re.Match) -> str:
+        name = m.group(0)
+        if name not in VIEWS and name not in TABLES:
+            return name
+        bound = f"{name}_{tag}"
+        load(spark, sf_dir, name).createOrReplaceTempView(bound)
+        return bound
+
+    names = "|".join(TABLES)
+    return spark.sql(re.sub(rf"\bv_\w+|(?i:(?<=\bfrom )|(?<=\bjoin ))(?:{names})\b", bind, sql))
 
 
 def hold(df: DataFrame, *texts: str) -> DataFrame:
@@ -82,17 +117,6 @@ def hold(df: DataFrame, *texts: str) -> DataFrame:
     return df
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    text = with_views(sql)
-    base = sf_dir.rstrip("/")
-    text = re.sub(
-        r"(?i)\b(from|join)\s+(" + "|".join(TABLES) + r")\b",
-        lambda m: f"{m.group(1)} parquet.`{base}/{m.group(2)}.parquet`",
-        text,
-    )
-    return spark.sql(text)
-
-
 def iso(date_expr: str) -> str:
     return f"(CAST(CAST({date_expr} AS DATE) AS STRING) || 'T00:00:00Z')"
 
@@ -143,7 +167,10 @@ def _diff_sql() -> str:
     path = (
         "CASE k % 4 WHEN 0 THEN 'src/pkg_' || CAST(k % 7 AS STRING) || '/mod.py' "
         "WHEN 1 THEN 'tests/unit/test_' || CAST(k % 9 AS STRING) || '.py' "
-        "WHEN 2 THEN 'lib/latest.py' ELSE 'client/data/app' || CAST(k % 5 AS STRING) || '.js' END"
+        "WHEN 2 THEN 'lib/latest.py' "
+        "ELSE CASE k % 3 WHEN 0 THEN 'client/data/app' || CAST(k % 5 AS STRING) || '.js' "
+        "WHEN 1 THEN 'client/x/__snapshots__/y' || CAST(k % 5 AS STRING) || '.js.snap' "
+        "ELSE 'test/e2e/spec-' || CAST(k % 5 AS STRING) || '.js' END END"
     )
     first = text_lines(
         "'diff --git a/' || p || ' b/' || p",

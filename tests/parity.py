@@ -98,7 +98,7 @@ def main():
             msg = f"{type(e).__name__}: {str(e)[:1200]}"
         if msg:
             failed += 1
-        print(f"{'FAIL' if msg else 'ok  '} {name:28s} {time.time() - start:6.2f}s {'' if name in oracle else '(rows only)'} {msg or ''}", flush=True)
+        print(f"{chr(70)+chr(65)+chr(73)+chr(76) if msg else 'ok  '} {name:28s} {time.time() - start:6.2f}s {'' if name in oracle else '(rows only)'} {msg or ''}", flush=True)
     print(f"{len(chosen) - failed} of {len(chosen)} ok")
 
 
