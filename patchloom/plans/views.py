@@ -368,3 +368,60 @@ def _run_log_sql() -> str:
 
 
 view("v_logs", _run_log_sql(), texts=("log",))
+
+# --- repository snapshots and release calendars ------------------------------------
+
+_VERSION_FILE = (
+    "CASE s.nk % 8 WHEN 0 THEN 'django/__init__.py' WHEN 2 THEN 'sympy/__init__.py' WHEN 4 THEN 'flask/__init__.py' "
+    "WHEN 5 THEN 'pyvista/_version.py' ELSE 'sklearn/__init__.py' END"
+)
+_VERSION_TEXT = (
+    f"CASE s.c % 6 WHEN 0 THEN '__version__ = \"1.' || CAST(s.c AS STRING) || '.3rc1\"' "
+    f"WHEN 1 THEN 'VERSION = (3, ' || CAST(s.c AS STRING) || ', 0)' "
+    f"WHEN 2 THEN '\"\"\"' || {NL} || '__version__ = ''9.9''' || {NL} || '\"\"\"' || {NL} || '__version__ = ''4.' || CAST(s.c AS STRING) || '''' "
+    f"WHEN 3 THEN 'version_info = 0, ' || CAST(s.c AS STRING) || ', 1' WHEN 4 THEN 'nothing' "
+    f"ELSE '__version__ = ''2.' || CAST(s.c AS STRING) || '''' || {NL} || 'VERSION = (5, 6)' END"
+)
+view(
+    "v_files",
+    f"""SELECT s.repo, 'c' || CAST(s.c AS STRING) AS commit,
+       CASE f.nr WHEN 0 THEN {_VERSION_FILE} WHEN 1 THEN 'sympy/release.py' WHEN 2 THEN 'README.md' WHEN 3 THEN 'readme' WHEN 4 THEN 'src/pkg_' || CAST(s.c % 7 AS STRING) || '/mod.py'
+         WHEN 5 THEN 'lib/latest.py' WHEN 6 THEN 'tests/unit/test_' || CAST(s.c % 9 AS STRING) || '.py' WHEN 7 THEN 'old/gone.py' WHEN 8 THEN 'docs/readme.txt' ELSE 'VERSION' END AS path,
+       CASE f.nr WHEN 0 THEN {_VERSION_TEXT} WHEN 1 THEN CASE WHEN s.c % 2 = 0 THEN '__version__ = "7.' || CAST(s.c AS STRING) || '.1"' ELSE 'none' END
+         WHEN 2 THEN '# Read me' || {NL} || 'repo ' || s.repo WHEN 3 THEN 'short' || {NL}
+         WHEN 4 THEN repeat('line of code ' || CAST(s.c AS STRING) || {NL}, CAST(30 + s.c AS INT)) WHEN 5 THEN 'import os' || {NL} || {NL} || repeat('value = ' || CAST(s.c AS STRING) || {NL}, 70) || 'é = 1'
+         ELSE 'x = 1' || {NL} || 'y = ' || CAST(s.c AS STRING) || {NL} END AS content
+       FROM (SELECT DISTINCT repo, nk, k % 40 AS c FROM v_work) s CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) f(nr)""",
+    texts=("path", "content"),
+)
+view(
+    "v_releases",
+    """SELECT DISTINCT repo, substr(d, 1, 7) || '-15' AS date,
+       CAST(CAST(substr(d, 1, 4) AS INT) - 1990 AS STRING) || '.' || CAST(CAST(substr(d, 6, 2) AS INT) AS STRING) AS version
+       FROM (SELECT repo, CAST(CAST(odate AS DATE) AS STRING) AS d FROM v_work WHERE odate >= TIMESTAMP '1995-03-01 00:00:00') w""",
+)
+_MONTHS = "january february march april may june july august september october november december".split()
+_MONTH = "CASE page_id % 12 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MONTHS)) + " END"
+view(
+    "v_release_pages",
+    f"""SELECT r.repo, p.page_id,
+       '<a class="reference internal nav-link active" href="#v0-' || CAST(page_id % 20 AS STRING) || '-1-' || {_MONTH} || '-' || CAST(1 + page_id % 28 AS STRING) || '-' || CAST(2015 + page_id % 8 AS STRING) || '">v0.1 (x)</a>' || {NL} ||
+       '<a class="reference internal nav-link" href="#v2-' || CAST(page_id % 9 AS STRING) || '-0-' || CAST(1 + page_id % 28 AS STRING) || '-' || {_MONTH} || '-2021">v2 (y)</a>' || {NL} ||
+       '<a class="reference internal nav-link" href="#version-x">Version ' || CAST(page_id % 6 AS STRING) || '.' || CAST(page_id % 13 AS STRING) || '.2 (20' || CAST(10 + page_id % 12 AS STRING) || '-0' || CAST(1 + page_id % 9 AS STRING) || '-11)</a>' || {NL} ||
+       '<a class="reference internal" href="prev_whats_new/whats_new_3.' || CAST(page_id % 14 AS STRING) || '.0.html">What''s new in Matplotlib 3.x (' || upper(substr({_MONTH}, 1, 1)) || substr({_MONTH}, 2, 2) || ' ' || CAST(1 + page_id % 28 AS STRING) || ', 2020)</a>' || {NL} || html AS html,
+       CASE page_id % 4 WHEN 0 THEN '[0.' || CAST(page_id % 10 AS STRING) || '.2] - 2021-10-' || CAST(10 + page_id % 20 AS STRING)
+         WHEN 1 THEN 'SQLFluff 1.' || CAST(page_id % 10 AS STRING) || '.0 out' WHEN 2 THEN 'Bugfix Release [2.' || CAST(page_id % 5 AS STRING) || '.1] - 2022-01-' || CAST(10 + page_id % 20 AS STRING)
+         ELSE 'news' END AS name, '2020-0' || CAST(1 + page_id % 9 AS STRING) || '-01T00:00:00Z' AS published_at
+       FROM pages p JOIN v_repo r ON p.page_id % 25 = r.n_nationkey""",
+    texts=("html", "name"),
+)
+_TAB = '<a class="vertical-tabs__tab--with-icon" href='
+view(
+    "v_packages",
+    f"""SELECT page_id, url, html || CASE page_id % 5
+       WHEN 0 THEN '{_TAB}"https://x.org">Homepage</a>{_TAB}"https://github.com/own' || CAST(page_id AS STRING) || '/proj">Source Code</a>'
+       WHEN 1 THEN '{_TAB}"https://GitHub.com/o/p">Docs</a>' WHEN 2 THEN '{_TAB}"https://GitHub.com/a/b"> <i></i> homepage </a>' ELSE '' END AS html,
+       CASE page_id % 3 WHEN 0 THEN 'see https://github.com/o' || CAST(page_id AS STRING) || '/r.x/issues/' || CAST(page_id * 7 AS STRING) || '#c' WHEN 1 THEN url ELSE 'github.com/a/issues/1' END AS link
+       FROM pages""",
+    texts=("html", "link"),
+)
