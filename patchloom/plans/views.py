@@ -425,3 +425,28 @@ view(
        FROM pages""",
     texts=("html", "link"),
 )
+
+# --- retrieval, hits, responses ----------------------------------------------------
+
+view("v_corpus", "SELECT source AS corpus, CAST(doc_id AS STRING) AS docid, text AS contents FROM documents")
+view("v_queries", "SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS STRING) AS corpus, text AS query FROM benchmark")
+view(
+    "v_hits",
+    """SELECT DISTINCT w.instance_id, CAST(l.l_linenumber AS INT) AS rank,
+       CASE l.l_linenumber WHEN 1 THEN 'lib/latest.py' WHEN 2 THEN 'old/gone.py' WHEN 3 THEN 'VERSION' WHEN 4 THEN 'docs/readme.txt'
+         WHEN 5 THEN 'README.md' WHEN 6 THEN 'missing.py' ELSE 'readme' END AS docid
+       FROM lineitem l JOIN v_work w ON l.l_orderkey = w.k""",
+)
+_FENCE = "chr(96) || chr(96) || chr(96)"
+view(
+    "v_responses",
+    f"""SELECT conv_id, turn, role, CASE (conv_id + turn) % 8
+       WHEN 0 THEN 'x <patch>' || text || '</patch> <diff>late</diff>'
+       WHEN 1 THEN 'see ' || {_FENCE} || 'diff' || {NL} || text || {_FENCE} || ' and <code>c</code>'
+       WHEN 2 THEN '<note>n</note> ' || {_FENCE} || {NL} || text || {_FENCE}
+       WHEN 3 THEN text || '</s> tail' WHEN 4 THEN CAST(NULL AS STRING)
+       WHEN 5 THEN '<a>' || text || '</b>' WHEN 6 THEN text || repeat('ab', 80) || 'end of it all, well'
+       ELSE substr(text, 1, 70) || repeat('-=', 40) || text END AS text
+       FROM conversations""",
+    texts=("text",),
+)
