@@ -60,6 +60,10 @@ def read_instances(spark: SparkSession, path: str, split: str = "test", ids: lis
     return rows.join(wanted, "instance_id", "left_semi")
 
 
+def _seq(file: Column, block: Column, line: Column) -> Column:
+    return F.struct(file.alias("file"), block.cast("long").alias("block"), line.cast("long").alias("line"))
+
+
 def read_predictions(spark: SparkSession, path: str, instances: DataFrame | None = None) -> DataFrame:
     """Predictions with a ``seq`` that orders rows by file and line.
 
@@ -69,19 +73,18 @@ def read_predictions(spark: SparkSession, path: str, instances: DataFrame | None
     if path == "gold":
         return instances.select(
             "instance_id", F.lit("gold").alias("model_name_or_path"), F.col("patch").alias("model_patch"),
-            F.lit(None).cast("string").alias("full_output"), F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("line")).alias("seq"),
+            F.lit(None).cast("string").alias("full_output"), _seq(F.lit(""), F.lit(0), F.lit(0)).alias("seq"),
         )
-    # the position inside a file follows the order of its splits
-    seq = F.struct(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * 1).alias("block"),
-                   F.monotonically_increasing_id().alias("line"))
     if path.endswith(".json"):
         whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
         body = tx.lstrip(F.col("value"))
         as_list = F.from_json("value", T.ArrayType(PREDICTION))
         as_map = F.map_values(F.from_json("value", T.MapType(T.StringType(), PREDICTION)))
         rows = whole.select("file", F.posexplode(F.when(body.startswith("["), as_list).otherwise(as_map)).alias("line", "r")).select(
-            "r.*", F.struct("file", F.col("line").cast("long").alias("line")).alias("seq"))
+            "r.*", _seq(F.col("file"), F.lit(0), F.col("line")).alias("seq"))
     elif path.endswith(".jsonl"):
+        # one task reads a block of a file from its start, so the row id grows inside a block
+        seq = _seq(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
         rows = spark.read.schema(PREDICTION).json(path).select("*", seq.alias("seq"))
     else:
         raise ValueError("predictions must be .json or .jsonl")

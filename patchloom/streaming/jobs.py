@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from patchloom.operators import grade
+from patchloom.operators.ingest import failure_runs
 from patchloom.operators.logs.dispatch import parser_of
 
 
@@ -62,37 +60,25 @@ def grade_batches(gold: DataFrame, path: str, parser: str | None = None):
     return write
 
 
-class FailureWatch(StatefulProcessor):
-    """Length of the current run of failures per key; a run of ``limit`` raises one alarm.
+def watch_failures(path: str, order: list[str], limit: int = 5):
+    """Batch writer that finds runs of failures across batches (rows with ``ok``).
 
-    Rows of one batch are ordered by ``seq`` before they are counted.
+    Each batch stores its runs and the length of the run it ends in; the next batch
+    adds that length to its first run. Only two counts reach the driver.
     """
 
-    limit = 5
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._run = handle.getValueState("run", "length int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        length = self._run.get()[0] if self._run.exists() else 0
-        frames = list(rows)
-        alarms = []
-        for seq, ok in pd.concat(frames).sort_values("seq")[["seq", "ok"]].itertuples(index=False):
-            length = 0 if ok else length + 1
-            if length == self.limit:
-                alarms.append((key[0], int(seq)))
-        self._run.update((length,))
-        yield pd.DataFrame(alarms, columns=["key", "seq"])
-
-    def close(self) -> None:
-        pass
-
-
-def failure_alarms(stream: DataFrame) -> DataFrame:
-    """(key, seq) where ``FailureWatch.limit`` failures in a row are reached; input is key, seq, ok.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        carry = 0
+        if batch_id > 0:
+            carry = spark.read.parquet(f"{path}/tail/batch={batch_id - 1}").first()["length"]
+        runs = failure_runs(batch, order, limit).withColumn(
+            "length", F.col("length") + F.when(F.col("run") == 0, carry).otherwise(0)
+        ).withColumn("aborts", F.col("length") >= limit)
+        runs.write.mode("overwrite").parquet(f"{path}/runs/batch={batch_id}")
+        successes = batch.filter("ok").count()
+        last = spark.read.parquet(f"{path}/runs/batch={batch_id}").filter(F.col("run") == successes).first()
+        tail = last["length"] if last else (carry if successes == 0 else 0)
+        spark.range(1).select(F.lit(tail).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/tail/batch={batch_id}")
 
-    State in the RocksDB store outlives executors through the checkpoint.
-    """
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=FailureWatch(), outputStructType="key long, seq long", outputMode="append", timeMode="none",
-    )
+    return write
