@@ -14,7 +14,9 @@ PY_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-PY_SPACE_CLASS = "[" + PY_SPACE + "]"
+# The same characters as pattern classes, for patterns made by rx().
+SPACE = r"[\s\x1c-\x1f]"
+NOT_SPACE = r"[^\s\x1c-\x1f]"
 
 
 def rx(pattern: str, flags: str = "") -> str:
@@ -36,13 +38,12 @@ def rstrip(c: Column, chars: str = PY_SPACE) -> Column:
 
 def words(c: Column) -> Column:
     """``str.split()``: no empty words, any white space separates."""
-    return F.filter(F.split(c, PY_SPACE_CLASS + "+"), lambda w: w != "")
+    return F.filter(F.split(c, rx(SPACE + "+")), lambda w: w != "")
 
 
 def word(c: Column, i: int) -> Column:
     """The i-th word (0-based) or null; reads no further than that word."""
-    not_space = "[^" + PY_SPACE + "]+"
-    p = f"^{PY_SPACE_CLASS}*(?:{not_space}{PY_SPACE_CLASS}+){{{i}}}({not_space})"
+    p = rx(rf"^{SPACE}*(?:{NOT_SPACE}+{SPACE}+){{{i}}}({NOT_SPACE}+)")
     return F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
 
 

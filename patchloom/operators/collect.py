@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from patchloom.functions import text as tx
 from patchloom.functions.order import with_row_index
 from patchloom.operators import diffs as D
+from patchloom.session import pin
 
 # Words that link a pull request to an issue, and the link patterns.
 LINK_WORDS = ("close", "closes", "closed", "fix", "fixes", "fixed", "resolve", "resolves", "resolved")
@@ -131,7 +132,8 @@ def build_instances(
     pulls: DataFrame, commits: DataFrame, issues: DataFrame, comments: DataFrame
 ) -> DataFrame:
     """Candidate instances with non-empty patch and statement. ``pulls`` carries ``diff``."""
-    linked = valid_pulls(resolved_issues(pulls, commits))
+    # read by four branches below: link the pull requests once
+    linked = pin(valid_pulls(resolved_issues(pulls, commits)))
     files = D.diff_files(
         D.diff_lines(linked.select(F.struct(*PULL).alias("id"), F.col("diff").alias("patch"))), with_text=True
     )
@@ -196,7 +198,7 @@ def strip_tags(html: Column) -> Column:
 
 def ticket_title(html: Column) -> Column:
     inner = F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1)
-    return tx.strip(F.regexp_replace(strip_tags(inner), tx.PY_SPACE_CLASS + "+", " "))
+    return tx.strip(F.regexp_replace(strip_tags(inner), tx.rx(tx.SPACE + "+"), " "))
 
 
 def ticket_body(html: Column) -> Column:

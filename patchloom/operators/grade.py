@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import text as tx
 from patchloom.operators.logs.base import ERROR, FAILED, PASSED, XFAIL
-from patchloom.operators.logs.dispatch import FAIL_ONLY_REPOS, parse_test_logs, parse_with
+from patchloom.operators.logs.dispatch import (
+    FAIL_ONLY_REPOS, PARSERS, parse_test_logs, parse_with, scan_logs, status_of_hits,
+)
+from patchloom.operators.logs.line_rules import LINE_RULES
+from patchloom.session import pin
 
 # Markers an evaluation run writes into its log.
 START_MARK = ">>>>> Start Test Output"
@@ -54,6 +58,25 @@ def parse_found_logs(logs: DataFrame, keys: list[str], parser: str | None = None
     return parse_test_logs(found, keys, body="body")
 
 
+def grade_logs(logs: DataFrame, keys: list[str], parser: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(runs, status): runs has keys, repo and found; status has keys, test and status.
+
+    Both come from one stored scan result, so the logs, by far the largest input, are
+    read once. Formats that carry state between lines read their own logs once more.
+    """
+    windowed = log_window(logs)
+    if parser and parser not in LINE_RULES:
+        return windowed.select(*keys, "repo", "found"), parse_found_logs(logs, keys, parser)
+    columns = [*keys, "repo", "found"] + ([] if parser else ["parser"])
+    scanned = pin(scan_logs(windowed, keys, "body", parser).select(*columns, "hits"))
+    status = status_of_hits(scanned.filter("found"), keys)
+    if not parser:
+        others = [n for n in PARSERS if n not in LINE_RULES]
+        found = windowed.filter(F.col("found") & F.col("parser").isin(*others))
+        status = status.unionByName(parse_test_logs(found, keys, only=others, body="body"))
+    return scanned.select(*keys, "repo", "found"), status
+
+
 def outcome(status: Column, fail_only: Column) -> Column:
     """'success', 'failure' or null for a gold test; ``status`` is null when the log has no such test.
 

@@ -151,3 +151,22 @@ def parse_test_logs(
         if n not in LINE_RULES:
             parts.append(parse_with(logs.filter(F.col("parser") == n), keys, n, body))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def scan_logs(logs: DataFrame, keys: list[str], body: str, parser: str | None = None) -> DataFrame:
+    """Logs with ``hits`` in place of their text: the hits of the line formats, found in one read.
+
+    ``hits`` is null for logs that were not ``found`` and for other formats.
+    """
+    if parser:
+        hits = _line_hits(parser, body)
+    else:
+        hits = None
+        for n in LINE_RULES:
+            cond = F.col("parser") == n
+            hits = F.when(cond, _line_hits(n, body)) if hits is None else hits.when(cond, _line_hits(n, body))
+    return logs.withColumn("hits", F.when(F.col("found"), hits)).drop("log", body)
+
+
+def status_of_hits(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    return _line_status(scanned, keys, F.col("hits"))

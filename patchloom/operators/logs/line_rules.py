@@ -76,7 +76,7 @@ for _name in CODED_PATTERNS:
     LINE_RULES[_name] = _coded(_name)
 
 
-_TWO_WORDS = f"^[^{tx.PY_SPACE}]+{tx.PY_SPACE_CLASS}+[^{tx.PY_SPACE}]"
+_TWO_WORDS = tx.rx(f"^{tx.NOT_SPACE}+{tx.SPACE}+{tx.NOT_SPACE}")
 
 
 def _status_first(line: Column) -> tuple[Column, Column, Column]:

@@ -27,9 +27,17 @@ def file_block(path: Column, content: Column, numbered: bool = True) -> Column:
     return F.concat(F.lit("[start of "), path, F.lit("]\n"), body, F.lit("\n[end of "), path, F.lit("]\n"))
 
 
+def with_blocks(files: DataFrame, numbered: bool = True) -> DataFrame:
+    """Snapshot files with their prompt block: formatted once per file, not once per instance that shows it."""
+    return files.withColumn("block", file_block(F.col("path"), F.col("content"), numbered))
+
+
 def code_text(files: DataFrame, keys: list[str], numbered: bool = True) -> DataFrame:
-    """(keys, code_text): file blocks in the order of their paths."""
-    block = file_block(F.col("path"), F.col("content"), numbered)
+    """(keys, code_text): file blocks in the order of their paths.
+
+    A ``block`` column made by :func:`with_blocks` is used as it is.
+    """
+    block = F.col("block") if "block" in files.columns else file_block(F.col("path"), F.col("content"), numbered)
     return files.groupBy(*keys).agg(F.btrim(tx.ordered_concat("path", block, ""), F.lit("\n")).alias("code_text"))
 
 
@@ -105,26 +113,27 @@ def context_files(
     source: str, instances: DataFrame, files: DataFrame,
     oracle: DataFrame | None = None, hits: DataFrame | None = None, k: int = 20,
 ) -> DataFrame:
-    """(instance_id, rank, path, content) of the files a prompt shows.
+    """(instance_id, rank, path, content) of the files a prompt shows, and ``block`` if the files have it.
 
     ``source``: 'oracle' (files of the gold patch: instance_id, path), 'bm25' (hits:
     instance_id, rank, docid), 'all' (every Python file outside tests) or 'none'.
     """
     snap = instances.select("instance_id", "repo", F.col("base_commit").alias("commit"))
+    shown_columns = ["path", "content", *(c for c in ("block",) if c in files.columns)]
     if source == "oracle":
         chosen = snap.join(oracle.select("instance_id", "path"), "instance_id").withColumn("rank", F.lit(0))
-        return chosen.join(files, ["repo", "commit", "path"]).select("instance_id", "rank", "path", "content")
+        return chosen.join(files, ["repo", "commit", "path"]).select("instance_id", "rank", *shown_columns)
     if source == "bm25":
         chosen = snap.join(
             hits.filter(F.col("rank") <= k).select("instance_id", "rank", F.col("docid").alias("path")), "instance_id"
         )
-        return chosen.join(files, ["repo", "commit", "path"]).select("instance_id", "rank", "path", "content")
+        return chosen.join(files, ["repo", "commit", "path"]).select("instance_id", "rank", *shown_columns)
     if source == "all":
         shown = files.filter(F.col("path").endswith(".py") & ~is_test_path(F.col("path")))
-        return snap.join(shown, ["repo", "commit"]).select("instance_id", F.lit(0).alias("rank"), "path", "content")
+        return snap.join(shown, ["repo", "commit"]).select("instance_id", F.lit(0).alias("rank"), *shown_columns)
     if source == "none":
         return snap.join(files, ["repo", "commit"]).filter(F.lit(False)).select(
-            "instance_id", F.lit(0).alias("rank"), "path", "content")
+            "instance_id", F.lit(0).alias("rank"), *shown_columns)
     raise ValueError(f"unknown file source {source}")
 
 

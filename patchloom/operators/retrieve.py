@@ -99,16 +99,21 @@ def bm25_topk(
     those words is broadcast when its size allows. Words that are in very many
     documents are split over several tasks for the join.
     """
-    words = docs.select("corpus", "docid", analyser(F.col("contents")).alias("w")).withColumn("dl", F.size("w"))
-    stats = words.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     terms = queries.select("query_id", "corpus", F.explode(analyser(F.col("query"))).alias("term")).groupBy(
         "query_id", "corpus", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = terms.select("corpus", "term").distinct()
-    postings = (
-        words.select("corpus", "docid", "dl", F.explode("w").alias("term"))
+    # the empty term stands for "every document": its postings carry the corpus statistics,
+    # so the documents are read and analysed once
+    every = F.lit("")
+    asked = terms.select("corpus", "term").union(queries.select("corpus", every)).distinct()
+    words = docs.select("corpus", "docid", analyser(F.col("contents")).alias("w"))
+    postings = pin(
+        words.select("corpus", "docid", F.size("w").alias("dl"), F.explode(F.array_append("w", every)).alias("term"))
         .join(small(asked, 2_000_000), ["corpus", "term"], "left_semi")
         .groupBy("corpus", "term", "docid", "dl").agg(F.count(F.lit(1)).alias("tf"))
     )
+    stats = postings.filter(F.col("term") == every).groupBy("corpus").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    postings = postings.filter(F.col("term") != every)
     df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(df, ["corpus", "term"]).join(stats, "corpus").select(
         "query_id", "corpus", "term", "avg_dl",

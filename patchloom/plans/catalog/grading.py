@@ -73,9 +73,14 @@ def _(spark, sf_dir):
     return _log_status(spark, sf_dir)
 
 
+def _runs(spark, sf_dir):
+    """(runs, graded tests) of all logs, from one read of them."""
+    runs, status = grade.grade_logs(load(spark, sf_dir, "v_logs"), KEYS, "pytest")
+    return runs, grade.grade_tests(runs.filter("found"), load(spark, sf_dir, "v_gold"), status, KEYS)
+
+
 def _graded(spark, sf_dir):
-    runs = grade.log_window(load(spark, sf_dir, "v_logs")).filter("found").select(*KEYS, "repo")
-    return grade.grade_tests(runs, load(spark, sf_dir, "v_gold"), _log_status(spark, sf_dir), KEYS)
+    return _runs(spark, sf_dir)[1]
 
 
 @query("grade_tests", f"WITH {_GRADED} SELECT model, instance_id, category, test, status, outcome FROM graded "
@@ -124,8 +129,8 @@ def _preds(spark, sf_dir):
 
 def _reports(spark, sf_dir):
     preds = _preds(spark, sf_dir).withColumnRenamed("model_name_or_path", "model").select(*KEYS, "model_patch")
-    found = grade.log_window(load(spark, sf_dir, "v_logs")).select(*KEYS, "found")
-    return grade.instance_reports(preds, found, _rates(spark, sf_dir), KEYS)
+    runs, graded = _runs(spark, sf_dir)
+    return grade.instance_reports(preds, runs, grade.grade_rates(graded, KEYS), KEYS)
 
 
 @query("instance_report", f"WITH {_REPORTS} SELECT * FROM reports")

@@ -145,10 +145,11 @@ def _(spark, sf_dir):
 
 
 @query("cost_cap", f"""WITH {_COST}, r AS (SELECT *, coalesce(sum(units) OVER (PARTITION BY model ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-  SELECT id, model, round(units::DOUBLE / 1e8, 6) AS cost, round(before::DOUBLE / 1e8, 6) AS cost_before FROM r WHERE before < 2500000000""")
+  SELECT id, model, units, before::BIGINT AS units_before FROM r WHERE before < 2500000000""")
 def _(spark, sf_dir):
     kept = ingest.cost_cap(_costs(spark, sf_dir), ["id"], 25.0)
-    return kept.select("id", "model", _dollars("cost").alias("cost"), _dollars("cost_before").alias("cost_before"))
+    units = lambda c: (F.col(c) * 100_000_000).cast("long")
+    return kept.select("id", "model", units("cost").alias("units"), units("cost_before").alias("units_before"))
 
 
 _ARGS = """(SELECT event_id, 'k=' || CAST(user_id AS STRING) || CASE event_id % 6 WHEN 0 THEN ',a=True,b=None' WHEN 1 THEN ',t=0.' || CAST(event_id % 10 AS STRING) || ',u=1.2.3' WHEN 2 THEN ',l=[],d={}'

@@ -56,8 +56,9 @@ def _oracle(spark, sf_dir):
     return lines, diffs.oracle_files(diffs.diff_files(lines, "instance_id"), "instance_id")
 
 
-def _oracle_files(spark, sf_dir):
-    return prompts.context_files("oracle", _instances(spark, sf_dir), load(spark, sf_dir, "v_files"), oracle=_oracle(spark, sf_dir)[1])
+def _oracle_files(spark, sf_dir, files=None):
+    files = load(spark, sf_dir, "v_files") if files is None else files
+    return prompts.context_files("oracle", _instances(spark, sf_dir), files, oracle=_oracle(spark, sf_dir)[1])
 
 
 def _readmes(spark, sf_dir, numbered=True):
@@ -67,7 +68,8 @@ def _readmes(spark, sf_dir, numbered=True):
 
 
 def _prompt(spark, sf_dir, style, numbered=True):
-    code = prompts.code_text(_oracle_files(spark, sf_dir), KEYS, numbered)
+    blocks = prompts.with_blocks(load(spark, sf_dir, "v_files"), numbered)
+    code = prompts.code_text(_oracle_files(spark, sf_dir, blocks), KEYS)
     return prompts.prompts(_instances(spark, sf_dir), _readmes(spark, sf_dir, numbered), code, style, KEYS)
 
 
@@ -82,9 +84,9 @@ def _(spark, sf_dir):
 
 @query("code_text", f"WITH {_CODE} SELECT instance_id, md5(cn) AS numbered, md5(cp) AS plain FROM code")
 def _(spark, sf_dir):
-    files = _oracle_files(spark, sf_dir)
-    a = prompts.code_text(files, KEYS).select("instance_id", F.md5("code_text").alias("numbered"))
-    return a.join(prompts.code_text(files, KEYS, numbered=False).select("instance_id", F.md5("code_text").alias("plain")), "instance_id")
+    files = load(spark, sf_dir, "v_files")
+    a = prompts.code_text(_oracle_files(spark, sf_dir, prompts.with_blocks(files)), KEYS).select("instance_id", F.md5("code_text").alias("numbered"))
+    return a.join(prompts.code_text(_oracle_files(spark, sf_dir, prompts.with_blocks(files, numbered=False)), KEYS).select("instance_id", F.md5("code_text").alias("plain")), "instance_id")
 
 
 _EDITS = f"""{_FILES}, {_BLOCKS},

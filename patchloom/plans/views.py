@@ -72,7 +72,18 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _once(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return _once(spark, sf_dir, name, lambda: spread(spark.read.parquet(path)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores to all cores.
+
+    The work behind these views is per row and heavy, and a single small file would run
+    it in one task. An input with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

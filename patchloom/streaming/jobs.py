@@ -51,9 +51,8 @@ def grade_batches(gold: DataFrame, path: str, parser: str | None = None):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         logs = batch if parser else batch.withColumn("parser", parser_of(F.col("repo"), F.col("instance_id")))
-        runs = grade.log_window(logs).filter("found").select(*keys, "repo")
-        status = grade.parse_found_logs(logs, keys, parser)
-        rates = grade.grade_rates(grade.grade_tests(runs, gold, status, keys), keys)
+        runs, status = grade.grade_logs(logs, keys, parser)
+        rates = grade.grade_rates(grade.grade_tests(runs.filter("found"), gold, status, keys), keys)
         out = rates.select(*keys, "f2p_rate", "p2p_rate", grade.resolution(F.col("f2p_rate"), F.col("p2p_rate")).alias("resolution"))
         out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
