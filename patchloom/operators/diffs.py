@@ -47,40 +47,52 @@ def diff_lines(diffs: DataFrame, key: str = "id", patch: str = "patch") -> DataF
     """
     line = F.col("line")
     w = Window.partitionBy(key).orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     p = tx.rx(HUNK_HEADER)
 
     def length(i: int) -> Column:
         digits = F.regexp_extract(line, p, i)
-        return F.when(digits == "", 1).otherwise(F.try_to_number(digits, F.lit("9999999999")).cast("long"))
+        return F.when(digits == "", F.lit(1)).otherwise(digits.try_cast("int"))
 
     is_hunk = F.col("is_hunk")
     first = F.substring(line, 1, 1)
+
+    def seen(*heads: str) -> Column:
+        return F.coalesce(F.sum(first.isin(*heads).cast("int")).over(before), F.lit(0))
+
+    # patches travel to their partition whole; their lines are made there and stay
     rows = (
-        diffs.select(key, F.posexplode(tx.lines(F.regexp_replace(patch, r"\n\z", ""))).alias("line_no", "line"))
+        diffs.select(key, patch).repartition(key)
+        .select(key, F.posexplode(tx.lines(F.regexp_replace(patch, r"\n\z", ""))).alias("line_no", "line"))
         .filter((F.col("line_no") > 0) | (line != ""))
-        .withColumn("is_hunk", line.rlike(p))
-        .withColumn("hunk_seq", F.sum(is_hunk.cast("int")).over(w))
-        .withColumn("_pre", F.coalesce(F.sum(F.when(first.isin("", " ", "-"), 1).otherwise(0)).over(before), F.lit(0)))
-        .withColumn("_post", F.coalesce(F.sum(F.when(first.isin("", " ", "+"), 1).otherwise(0)).over(before), F.lit(0)))
-        .withColumn("_h", F.last(F.when(is_hunk, F.struct(
-            (F.col("_pre") + length(2)).alias("pre_end"), (F.col("_post") + length(4)).alias("post_end"))), ignorenulls=True).over(w))
+        .withColumn("is_hunk", line.startswith("@@ -") & line.rlike(p))
+        .select(
+            "*", F.sum(is_hunk.cast("int")).over(upto).alias("hunk_seq"),
+            seen("", " ", "-").alias("_pre"), seen("", " ", "+").alias("_post"),
+        )
+        .select(
+            "*",
+            F.last(F.when(is_hunk, F.col("_pre") + length(2)), ignorenulls=True).over(upto).alias("_pre_end"),
+            F.last(F.when(is_hunk, F.col("_post") + length(4)), ignorenulls=True).over(upto).alias("_post_end"),
+        )
         .withColumn("in_hunk", ~is_hunk & F.coalesce(
-            (F.col("_pre") < F.col("_h.pre_end")) | (F.col("_post") < F.col("_h.post_end")), F.lit(False)))
+            (F.col("_pre") < F.col("_pre_end")) | (F.col("_post") < F.col("_post_end")), F.lit(False)))
     )
     git = ~F.col("in_hunk") & line.startswith("diff --git ")
     minus = ~F.col("in_hunk") & line.startswith("--- ")
-    marked = rows.withColumn("_mark", F.when(git, "git").when(minus, "minus")).withColumn(
+    # 1: a diff line opens a file; 2: so does a --- line that follows no open diff line
+    marked = rows.withColumn("_mark", F.when(git, 1).when(minus, 2)).withColumn(
         "_last", F.last("_mark", ignorenulls=True).over(before)
     )
-    starts = (F.col("_mark") == "git") | ((F.col("_mark") == "minus") & ~(F.coalesce("_last", F.lit("")) == "git"))
+    starts = F.coalesce((F.col("_mark") == 1) | ((F.col("_mark") == 2) & (F.coalesce("_last", F.lit(0)) != 1)), F.lit(False))
     kind = (
         F.when(is_hunk, "hunk").when(~F.col("in_hunk"), "meta").when(first == "+", "added")
         .when(first == "-", "removed").when(first == "\\", "meta").otherwise("context")
     )
     return marked.select(
         key, "line_no", "line",
-        F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w).alias("file_no"),
+        F.sum(starts.cast("int")).over(upto).alias("file_no"),
         F.when(is_hunk | F.col("in_hunk"), F.col("hunk_seq")).alias("hunk_no"),
         kind.alias("kind"),
     )

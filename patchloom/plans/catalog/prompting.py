@@ -82,11 +82,10 @@ def _(spark, sf_dir):
     return load(spark, sf_dir, "v_files").select("repo", "commit", "path", prompts.number_lines(F.col("content")).alias("numbered"))
 
 
-@query("code_text", f"WITH {_CODE} SELECT instance_id, md5(cn) AS numbered, md5(cp) AS plain FROM code")
+@query("code_text", f"WITH {_CODE} SELECT instance_id, md5(cn) AS digest FROM code")
 def _(spark, sf_dir):
-    files = load(spark, sf_dir, "v_files")
-    a = prompts.code_text(_oracle_files(spark, sf_dir, prompts.with_blocks(files)), KEYS).select("instance_id", F.md5("code_text").alias("numbered"))
-    return a.join(prompts.code_text(_oracle_files(spark, sf_dir, prompts.with_blocks(files, numbered=False)), KEYS).select("instance_id", F.md5("code_text").alias("plain")), "instance_id")
+    files = prompts.with_blocks(load(spark, sf_dir, "v_files"))
+    return prompts.code_text(_oracle_files(spark, sf_dir, files), KEYS).select("instance_id", F.md5("code_text").alias("digest"))
 
 
 _EDITS = f"""{_FILES}, {_BLOCKS},
