@@ -50,8 +50,8 @@ def token_ids(docs: DataFrame, vocab: DataFrame, key: str, text: str = "text", t
     ``share`` of all are looked up from a broadcast table, which then has fewer than
     ``share`` rows; the others join by shuffle.
     """
-    total = vocab.agg(F.sum("n").alias("t"))
-    hot = vocab.join(F.broadcast(total), F.col("n") * share > F.col("t")).select("token", F.col("id").alias("_hot"))
+    total = vocab.agg(F.sum("n")).first()[0] or 0
+    hot = vocab.filter(F.col("n") * share > total).select("token", F.col("id").alias("_hot"))
     rows = docs.select(key, F.posexplode(TOKENIZERS[tokenizer](F.col(text))).alias("pos", "token")).join(
         F.broadcast(hot), "token", "left"
     )

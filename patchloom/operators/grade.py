@@ -179,16 +179,19 @@ def run_states(dataset: DataFrame, preds: DataFrame, reports: DataFrame) -> Data
 
 def run_report(states: DataFrame, preds: DataFrame) -> DataFrame:
     """One row of counts. Submitted counts every prediction, also for unknown instances."""
-    counts = states.agg(
-        F.count(F.lit(1)).alias("total_instances"),
+    rows = states.select("state", "completed").unionByName(
+        preds.select(F.lit("submitted").alias("state"), F.lit(False).alias("completed"))
+    )
+    in_data = F.col("state") != "submitted"
+    return rows.agg(
+        F.count_if(in_data).alias("total_instances"),
+        F.count_if(~in_data).alias("submitted_instances"),
         F.count_if("completed").alias("completed_instances"),
         F.count_if(F.col("state") == "resolved").alias("resolved_instances"),
         F.count_if(F.col("state") == "unresolved").alias("unresolved_instances"),
         F.count_if(F.col("state") == "empty_patch").alias("empty_patch_instances"),
         F.count_if(F.col("state") == "error").alias("error_instances"),
-    )
-    submitted = preds.agg(F.count(F.lit(1)).alias("submitted_instances"))
-    return counts.join(F.broadcast(submitted)).withColumn("schema_version", F.lit(2))  # one row each
+    ).withColumn("schema_version", F.lit(2))
 
 
 def run_report_ids(states: DataFrame, preds: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def bm25_topk(
     words = docs.select("corpus", "docid", analyser(F.col("contents")).alias("w"))
     postings = pin(
         words.select("corpus", "docid", F.size("w").alias("dl"), F.explode(F.array_append("w", every)).alias("term"))
-        .join(small(asked, 2_000_000), ["corpus", "term"], "left_semi")
+        .join(small(asked, 500_000), ["corpus", "term"], "left_semi")
         .groupBy("corpus", "term", "docid", "dl").agg(F.count(F.lit(1)).alias("tf"))
     )
     stats = postings.filter(F.col("term") == every).groupBy("corpus").agg(

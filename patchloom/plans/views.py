@@ -403,7 +403,8 @@ view(
          WHEN 2 THEN '# Read me' || {NL} || 'repo ' || s.repo WHEN 3 THEN 'short' || {NL}
          WHEN 4 THEN repeat('line of code ' || CAST(s.c AS STRING) || {NL}, CAST(30 + s.c AS INT)) WHEN 5 THEN 'import os' || {NL} || {NL} || repeat('value = ' || CAST(s.c AS STRING) || {NL}, 70) || 'é = 1'
          ELSE 'x = 1' || {NL} || 'y = ' || CAST(s.c AS STRING) || {NL} END AS content
-       FROM (SELECT DISTINCT repo, nk, k % 40 AS c FROM v_work) s CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) f(nr)""",
+       FROM (SELECT DISTINCT repo, nk, k % 40 AS c, 1 AS one FROM v_work) s
+       JOIN (VALUES (0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1)) f(nr, one) ON s.one = f.one""",
     texts=("path", "content"),
 )
 view(
