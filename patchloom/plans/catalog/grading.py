@@ -128,7 +128,8 @@ def _preds(spark, sf_dir):
 
 
 def _reports(spark, sf_dir):
-    preds = _preds(spark, sf_dir).withColumnRenamed("model_name_or_path", "model").select(*KEYS, "model_patch")
+    rows = load(spark, sf_dir, "v_predictions").select("instance_id", "seq", F.col("model_name_or_path").alias("model"), "model_patch")
+    preds = grade.latest_predictions(rows)
     runs, graded = _runs(spark, sf_dir)
     return grade.instance_reports(preds, runs, grade.grade_rates(graded, KEYS), KEYS)
 
