@@ -27,9 +27,9 @@ NON_TEST_SUFFIXES = (
 TEST_WORDS = ("test", "tests", "testing")
 TEST_PATH_PARTS = ("test", "tests", "e2e", "testing")
 
-# Repositories with their own rule, and the runner versions that
-# select a test configuration.
-SCRIPT_REPO, SCRIPT_TEST = "swe-bench/humaneval", "test.py"
+# The test script of single exercises, the repository whose tests are
+# modules, and the runner versions that select a test configuration.
+SCRIPT_TEST = "test.py"
 DOTTED_REPO = "django/django"
 JS_CONFIG_VERSIONS = ("10.10.0", "10.12.0", "10.13.0", "10.14.0", "10.15.2", "10.16.3")
 JSON_CONFIG_VERSIONS = (
@@ -190,8 +190,11 @@ def is_test_path(path: Column) -> Column:
     return F.arrays_overlap(F.split(F.lower(path), r"[ _/.]"), F.array(*[F.lit(t) for t in TEST_WORDS]))
 
 
-def test_directives(instances: DataFrame, key: str = "instance_id") -> DataFrame:
-    """(key, pos, directive): test targets named by the test patch."""
+def test_directives(instances: DataFrame, key: str = "instance_id", script_repos: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, directive): test targets named by the test patch.
+
+    Repositories in ``script_repos`` are single exercises with one fixed test script.
+    """
     paths = F.filter(
         tx.find_all(F.col("test_patch"), DIRECTIVE_PATTERN, 1), lambda d: ~tx.ends_with_any(d, NON_TEST_SUFFIXES)
     )
@@ -200,7 +203,7 @@ def test_directives(instances: DataFrame, key: str = "instance_id") -> DataFrame
         lambda d: F.replace(F.regexp_replace(F.regexp_replace(d, r"\.py$", ""), "^tests/", ""), F.lit("/"), F.lit(".")),
     )
     out = (
-        F.when(F.col("repo") == SCRIPT_REPO, F.array(F.lit(SCRIPT_TEST)))
+        F.when(F.col("repo").isin(*script_repos), F.array(F.lit(SCRIPT_TEST)))
         .when(F.col("repo") == DOTTED_REPO, dotted)
         .otherwise(paths)
     )

@@ -122,3 +122,10 @@ def test_train_labels(spark):
 def test_cost_cap_keeps_the_crossing_row(spark):
     df = spark.createDataFrame([("m", i, 1.0) for i in range(6)], "model string, seq int, cost double")
     assert sorted(r["seq"] for r in ingest.cost_cap(df, ["seq"], 3.0).collect()) == [0, 1, 2]
+
+
+def test_directives_of_single_exercises(spark):
+    df = spark.createDataFrame([("i", "x/ex", ""), ("j", "django/django", "diff --git a/tests/a/b.py b/tests/a/b.py\n")],
+                               "instance_id string, repo string, test_patch string")
+    got = {r["instance_id"]: r["directive"] for r in diffs.test_directives(df, script_repos=("x/ex",)).collect()}
+    assert got == {"i": "test.py", "j": "a.b"}
