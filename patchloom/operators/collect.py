@@ -27,8 +27,17 @@ def resolved_issues(pulls: DataFrame, commits: DataFrame) -> DataFrame:
     Comments are removed from title, body and commit messages as one text, so a
     comment opened in the title can hide a link in a commit. That needs the whole text
     of a pull request in one value; the code host lists at most 250 commits of one.
+    Messages that can neither hold a link, nor open or close a comment, nor end in a
+    link word whose number follows in the next message, travel as a single dot.
     """
-    messages = commits.groupBy(*PULL).agg(tx.ordered_concat("seq", F.col("message"), "\n").alias("_commits"))
+    message = F.col("message")
+    matters = (
+        tx.contains_any(message, ("#", "<!--", "-->")) | (tx.strip(message) == "")
+        | F.lower(F.regexp_extract(message, tx.rx(rf"(\w+){tx.SPACE}*\z"), 1)).isin(*LINK_WORDS)
+    )
+    messages = commits.groupBy(*PULL).agg(
+        tx.ordered_concat("seq", F.when(matters, message).otherwise("."), "\n").alias("_commits")
+    )
     empty = F.lit("")
     text = F.concat_ws(
         "\n", F.coalesce("title", empty), F.coalesce("body", empty), F.coalesce("_commits", empty)
