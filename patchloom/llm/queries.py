@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe
+from patchloom.llm import bpe, reputation, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.from_file(VOCABULARY_FILE, public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+
+
+RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+)
+_RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '{r[r.index('/'):]}')" for v, r in RULES)
+_SQ = "round({b}::DOUBLE * {b} / nullif({n}, 0), 6)::DECIMAL(38,6)"
+
+
+def _weight(child: str, parent: str) -> str:
+    """SQL of the prior's weight; the columns of ``t`` are named as in the operator."""
+    groups, squares, share = (f"{child}_groups", f"{child}_sq", f"{child}_share")
+    within = f"((bad - {parent}_sq) / n)"
+    freedom = f"({groups} - {parent}_groups)"
+    room = f"({within} * (n - {share} - {freedom}))"
+    excess = f"(({squares} - {parent}_sq - {within} * {freedom}) / {room})"
+    return f"CASE WHEN n = 0 THEN 10000.0 WHEN {room} <= 0 THEN 10000.0 WHEN {excess} <= 0 THEN 10000.0 ELSE least(10000.0, greatest(0.5, 1 / least({excess}, 1.0) - 1)) END"
+
+
+HOST_REPUTATION_SQL = f"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(verdict, rule, rh, rp) AS (VALUES {_RULE_ROWS}),
+ruled AS (SELECT h.*, (SELECT arg_max(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule)) FROM r
+  WHERE (h.host = r.rh OR ends_with(h.host, '.' || r.rh)) AND starts_with(h.path, r.rp)) AS m FROM h),
+hosts AS (SELECT host, count(m) AS n, count(*) FILTER (m.verdict = 'block') AS b,
+  array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM ruled GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b, sum(n * n) AS n2, count(*) FILTER (n > 0) AS hosts,
+  sum({_SQ.format(b='b', n='n')}) FILTER (n > 0) AS sq FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b, sum(n * n) AS n2, count(*) FILTER (n > 0) AS domains, sum(hosts) AS hosts, sum(sq) AS host_sq,
+  sum({_SQ.format(b='b', n='n')}) FILTER (n > 0) AS domain_sq, sum(round(n2::DOUBLE / nullif(n, 0), 6)::DECIMAL(38,6)) FILTER (n > 0) AS share FROM domains GROUP BY ALL),
+t AS (SELECT coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(b), 0)::DOUBLE AS bad, 1 AS all_groups, coalesce(sum(b)::DOUBLE * sum(b) / sum(n), 0) AS all_sq,
+  count(*) AS suffix_groups, coalesce(sum({_SQ.format(b='b', n='n')}), 0)::DOUBLE AS suffix_sq, coalesce(sum(n * n)::DOUBLE / sum(n), 0) AS suffix_share,
+  coalesce(sum(domains), 0) AS domain_groups, coalesce(sum(domain_sq), 0)::DOUBLE AS domain_sq, coalesce(sum(round(n2::DOUBLE / nullif(n, 0), 6)::DECIMAL(38,6)), 0)::DOUBLE AS domain_share,
+  coalesce(sum(hosts), 0) AS host_groups, coalesce(sum(host_sq), 0)::DOUBLE AS host_sq, coalesce(sum(share), 0)::DOUBLE AS host_share FROM suffixes WHERE n > 0),
+w AS (SELECT n, bad, {_weight('suffix', 'all')} AS ws, {_weight('domain', 'suffix')} AS wd, {_weight('host', 'domain')} AS wh FROM t),
+sm AS (SELECT suffix, (b + ws * ((bad + 0.5) / (w.n + 1))) / (s.n + ws) AS m FROM suffixes s, w),
+dm AS (SELECT domain, (b + wd * m) / (d.n + wd) AS m FROM domains d JOIN sm USING (suffix), w),
+hm AS (SELECT host, (b + wh * m) / (h.n + wh) AS m, h.n, wh FROM hosts h JOIN dm USING (domain), w),
+bounds AS (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + (wh + 1))) AS bound FROM hm)
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 9) AS bound
+FROM ruled JOIN bounds USING (host)
+"""
+
+
+@query("op4_host_reputation", HOST_REPUTATION_SQL)
+def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = reputation.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return judged.withColumn("bound", F.round("bound", 9))
+
+
+SHARDS = 24
+
+
+@query("op5_jump_shards")
+def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
