@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, reputation, sharding
+from patchloom.llm import bpe, mixing, reputation, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,11 @@ SHARDS = 24
 @query("op5_jump_shards")
 def jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+
+
+MIX_WEIGHTS, MIX_TOTAL, MIX_MOST = (3, 1, 2), 1.5, 2
+
+
+@query("op6_pivotal_mix")
+def pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_TOTAL, MIX_MOST)
