@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, mixing, reputation, sharding
+from patchloom.llm import bpe, mixing, reputation, sharding, warc
+from patchloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,18 @@ MIX_WEIGHTS, MIX_TOTAL, MIX_MOST = (3, 1, 2), 1.5, 2
 @query("op6_pivotal_mix")
 def pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_TOTAL, MIX_MOST)
+
+
+CAPTURES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+b AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best <> page_id THEN best END AS refers_to FROM b
+"""
+
+
+@query("op2_warc_transactions", CAPTURES_SQL)
+def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/archives/{uuid.uuid4().hex}"
+    return warc.capture_digests(table(spark, sf_dir, "pages"), path)
