@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, mixing, reputation, sharding, warc
+from patchloom.llm import bpe, mixing, omh, reputation, sharding, warc
 from patchloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'r
 def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/archives/{uuid.uuid4().hex}"
     return warc.capture_digests(table(spark, sf_dir, "pages"), path)
+
+
+@query("op7_order_minhash")
+def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.edit_fingerprints(table(spark, sf_dir, "documents"))
