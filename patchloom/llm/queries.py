@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, mixing, omh, reputation, sharding, warc
+from patchloom.llm import bpe, mixing, omh, reputation, sharding, toxicity, warc
 from patchloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_order_minhash")
 def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_noisy_channel_toxicity")
+def noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
