@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, mixing, omh, reputation, sharding, toxicity, warc
+from patchloom.llm import bpe, mixing, omh, reputation, sharding, sketches, toxicity, warc
 from patchloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_noisy_channel_toxicity")
 def noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_bottom_k_sketches")
+def bottom_k_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
