@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, mixing, omh, passages, reputation, sharding, sketches, toxicity, warc
+from patchloom.llm import bpe, lattice, mixing, omh, passages, reputation, sharding, sketches, toxicity, warc
 from patchloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ def bottom_k_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_lattice_hashing")
+def lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
