@@ -139,3 +139,19 @@ def mix(docs: DataFrame, weights: Sequence[float], total: float, most: float, ke
     targets = pin(source_targets(sizes, weights, total, most, source))
     taken = take_copies(sizes, targets, [key], source, seed)
     return taken.select(key, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, weights: Sequence[float], total: float, most: float, text: str = "text", source: str = "source", seed: int = 20) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; all columns as they are.
+
+    Rows that are equal in all columns count as one document of their joint size, so they are
+    taken equally often. Rows without words are not taken.
+    """
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    pointer = {"__p": F.xxhash64(*hashed), "__q": F.hash(*hashed)}
+    sizes = docs.withColumns(pointer).groupBy("__p", "__q", source).agg(F.sum(word_count(F.col(text))).alias("size"))
+    sizes = pin(sizes)
+    targets = pin(source_targets(sizes, weights, total, most, source))
+    copies = pin(take_copies(sizes, targets, ["__p", "__q"], source, seed).filter("copies > 0").select(F.col("__p").alias("_p"), F.col("__q").alias("_q"), "copies"))
+    joined = docs.withColumns(pointer).join(copies, (F.col("__p") == F.col("_p")) & (F.col("__q") == F.col("_q")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

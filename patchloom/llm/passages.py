@@ -226,34 +226,55 @@ def recurring_spans(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     return spans.groupBy("d", "m").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _strip(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in stream:
-        totals, removed, kept = [], [], []
-        for text, spans in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-            words = (text.as_py() or b"").split()
-            gone = np.zeros(len(words), dtype=bool)
-            for s in spans.as_py() or ():
-                gone[s["lo"]:s["hi"]] = True
-            totals.append(len(words))
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-2], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
-
-
-def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, carry: list[str] | None = None) -> DataFrame:
-    """(key, carried columns, n_words, n_removed, kept) for each row: kept words, joined by one space.
+def _strip(rejoin: bool):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            totals, removed, kept = [], [], []
+            for text, spans in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                words = (text.as_py() or b"").split()
+                gone = np.zeros(len(words), dtype=bool)
+                for s in spans.as_py() or ():
+                    gone[s["lo"]:s["hi"]] = True
+                totals.append(len(words))
+                removed.append(int(gone.sum()))
+                if removed[-1]:
+                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+                else:
+                    kept.append(b" ".join(words) if rejoin else text.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=[*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
+    return run
 
-    A word goes when a window over it also starts anywhere else, in the same text too. Null texts
-    have no words and keep an empty text; repeated rows lose whatever they share, that is all
-    words of texts with at least ``window`` words. Windows are judged on the input.
-    """
+
+def _stripped(docs: DataFrame, key: str, text: str, window: int, phrase: int, carry: list[str], rejoin: bool) -> DataFrame:
+    """(_row, a struct of the carried columns, n_words, n_removed, kept)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     name = [F.xxhash64(F.col(key).cast("string"), body).alias("d"), F.hash(body, F.lit(7)).alias("m")]
     spans = pin(recurring_spans(docs.select(*name, body.alias("text")), window, phrase))
-    kept_columns = [key, *(carry or [])]
-    packed = docs.select(F.struct(*kept_columns).alias("_row"), *name, body.alias("_text"))
-    joined = packed.join(spans, ["d", "m"], "left").select(F.col("_row"), "_text", "spans")
-    schema = joined.select("_row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
-    return joined.mapInArrow(_strip, schema).select("_row.*", "n_words", "n_removed", "kept")
+    packed = docs.select(F.struct(*carry).alias("_row"), *name, F.col(text).cast("binary").alias("_text"))
+    joined = packed.join(spans, ["d", "m"], "left").select("_row", "_text", "spans")
+    schema = joined.select("_row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit(None).cast("string")}).schema
+    return joined.mapInArrow(_strip(rejoin), schema)
+
+
+def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(key, n_words, n_removed, kept) for each row: the kept words, joined by one space.
+
+    A word goes when a window over it also starts anywhere else, in the same text too. Null texts
+    have no words and give an empty string; repeated rows lose whatever they share, that is all
+    words of texts with at least ``window`` words. Windows are judged on the input.
+    """
+    return _stripped(docs, key, text, window, phrase, [key], True).select(F.col("_row")[key].alias(key), "n_words", "n_removed", "kept")
+
+
+def strip_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, length: str | None = None) -> DataFrame:
+    """``docs`` with the recurring words of its texts removed; texts that lose nothing stay as they are.
+
+    ``length`` names a column that holds the text's length in code points and is brought up to
+    date. All rows and other columns stay, also those of texts that lose all words.
+    """
+    others = [c for c in docs.columns if c != text]
+    made = _stripped(docs, key, text, window, phrase, others, False)
+    field = lambda c: F.length("kept").cast(docs.schema[c].dataType) if c == length else F.col("_row")[c]
+    return made.select(*(F.col("kept").alias(c) if c == text else field(c).alias(c) for c in docs.columns))

@@ -43,10 +43,10 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         if hi - lo >= words:
             yield np.unique(runs[lo:hi - words + 1])
         elif hi > lo:
-            whole = np.uint64(hi - lo)
-            for h in parsed.hashes[lo:hi]:
-                whole = mix(np.array([whole * _SALTS[0] ^ h]))[0]
-            yield np.array([whole], dtype=np.uint64).view(np.int64)
+            whole = np.array([hi - lo], dtype=np.uint64)
+            for j in range(lo, hi):
+                whole = mix(whole * _SALTS[0] ^ parsed.hashes[j:j + 1])
+            yield whole.view(np.int64)
         else:
             yield np.zeros(0, dtype=np.int64)
 
@@ -109,17 +109,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets_of, percent: int, k: in
     return pin(joined.select("a", "b", (F.col("_i") * 100 >= (F.size("_a") + F.size("_b") - F.col("_i")) * percent).alias("linked")))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85, k: int = K) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Documents are linked where 100 * |A and B| >= percent * |A or B| for their shingle sets. The
-    component's id is the smallest key that links reach; nulls count as larger than every key,
-    so a component of null keys has a null id. ``kept`` marks rows whose key is the id. Rows with
-    no words are linked with nothing, not even with each other; null and empty texts are such.
-    Repeated rows are rows of their own.
-    """
+def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int, k: int) -> DataFrame:
+    """(_key, _k, _t, n, _component) of each row; the component is a class id, null without words."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_k"), F.xxhash64(body).alias("_t"), body.cast("binary").alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), *_pointer(key, text), body.cast("binary").alias("_text"))
     described = pin(_described(rows, "_text", words, k))
     grouped = described.filter("n > 0").groupBy("h1", "h2").agg(
         F.first("n").alias("n"), F.first("values").alias("values"), F.min(F.struct("_t", "_k")).alias("_from"))
@@ -132,19 +125,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         full = _described(found, "_text", words, None).filter("h1 = _h1 AND h2 = _h2")
         return pin(full.dropDuplicates(["id"]).select("id", "values"))
 
-    links = _links(classes, sets_of, percent, k)
-    reached = components(links)
-    of_class = classes.select("h1", "h2", F.col("id")).join(reached, F.col("id") == F.col("node"), "left").select(
+    reached = components(_links(classes, sets_of, percent, k))
+    of_class = classes.select("h1", "h2", "id").join(reached, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("component", "id").alias("_component"))
-    placed = pin(described.select("_key", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left").withColumn(
-        "_component", F.when(F.col("n") > 0, F.col("_component"))).select("_key", "n", "_component"))
-    least = placed.filter("_component IS NOT NULL").groupBy("_component").agg(F.min("_key").alias("_least"))
-    least = pin(least)
+    return pin(described.select("_key", "_k", "_t", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left").select(
+        "_key", "_k", "_t", "n", F.when(F.col("n") > 0, F.col("_component")).alias("_component")))
+
+
+def _pointer(key: str, text: str) -> list[Column]:
+    """Two hashes that find a row again by its key and text."""
+    return [F.xxhash64(key).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85, k: int = K) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Documents are linked where 100 * |A and B| >= percent * |A or B| for their shingle sets. The
+    component's id is the smallest key that links reach; nulls count as larger than every key,
+    so a component of null keys has a null id. ``kept`` marks rows whose key is the id. Rows with
+    no words are linked with nothing, not even with each other; null and empty texts are such.
+    Repeated rows are rows of their own.
+    """
+    placed = _placed(docs, key, text, words, percent, k)
+    least = pin(placed.filter("_component IS NOT NULL").groupBy("_component").agg(F.min("_key").alias("_least")))
     out = placed.join(least, "_component", "left").select(
         F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_component").isNull(), F.col("_key")).otherwise(F.col("_least")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest key; all columns as they are.
+
+    Null keys go last; of rows with equal key and text one stays. Rows without words all stay.
+    """
+    placed = _placed(docs, key, text, words, percent, k).filter("_component IS NOT NULL")
+    best = placed.groupBy("_component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_t", "_k")).alias("_best"))
+    chosen = pin(best.select("_best._k", "_best._t"))
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.withColumns(dict(zip(("__k", "__t"), _pointer(key, text), strict=True)))
+    stay = marked.filter(worded).join(chosen, (F.col("__k") == F.col("_k")) & (F.col("__t") == F.col("_t")), "left_semi").dropDuplicates(["__k", "__t"])
+    return stay.select(*docs.columns).unionByName(docs.filter(~worded))
+
+
 def _links(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame:
     """Verified links (a, b) between classes that join all that are linked."""
     held = classes.select("id", F.explode("values").alias("v"))
