@@ -148,10 +148,10 @@ def mix_rows(docs: DataFrame, weights: Sequence[float], total: float, most: floa
     taken equally often. Rows without words are not taken.
     """
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    pointer = {"__p": F.xxhash64(*hashed), "__q": F.hash(*hashed)}
-    sizes = docs.withColumns(pointer).groupBy("__p", "__q", source).agg(F.sum(word_count(F.col(text))).alias("size"))
-    sizes = pin(sizes)
-    targets = pin(source_targets(sizes, weights, total, most, source))
-    copies = pin(take_copies(sizes, targets, ["__p", "__q"], source, seed).filter("copies > 0").select(F.col("__p").alias("_p"), F.col("__q").alias("_q"), "copies"))
-    joined = docs.withColumns(pointer).join(copies, (F.col("__p") == F.col("_p")) & (F.col("__q") == F.col("_q")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*hashed).alias("_p"), F.hash(*hashed).alias("_q"))
+    units = docs.select(F.xxhash64(*hashed).alias("_p"), F.hash(*hashed).alias("_q"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"))
+    sizes = pin(units.groupBy("_p", "_q", "_source").agg(F.sum("size").alias("size")))
+    targets = pin(source_targets(sizes, weights, total, most, "_source"))
+    copies = pin(take_copies(sizes, targets, ["_p", "_q"], "_source", seed).filter("copies > 0").select("_p", "_q", "copies"))
+    joined = packed.join(copies, ["_p", "_q"])
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

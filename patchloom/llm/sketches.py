@@ -162,9 +162,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     best = placed.groupBy("_component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_t", "_k")).alias("_best"))
     chosen = pin(best.select("_best._k", "_best._t"))
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.withColumns(dict(zip(("__k", "__t"), _pointer(key, text), strict=True)))
-    stay = marked.filter(worded).join(chosen, (F.col("__k") == F.col("_k")) & (F.col("__t") == F.col("_t")), "left_semi").dropDuplicates(["__k", "__t"])
-    return stay.select(*docs.columns).unionByName(docs.filter(~worded))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), *_pointer(key, text), worded.alias("_worded"))
+    # an aggregate, because copies of one row are then dropped before they are moved
+    stay = packed.filter("_worded").join(chosen, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
+    return stay.select("_row.*").unionByName(packed.filter("NOT _worded").select("_row.*"))
 
 
 def _links(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame:
