@@ -1,20 +1,9 @@
-"""Join helpers for skewed keys and for sides of a checked size."""
+"""A join for skewed keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave the choice to Spark.
-
-    The check is a count, which moves one number per task.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def salted_join(
     big: DataFrame,
     small_side: DataFrame,
@@ -35,8 +24,7 @@ def salted_join(
         .filter(F.col("_n") > rows_per_slice)
         .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
     )
-    # at most (rows of big / rows_per_slice) keys, so this side is bounded
-    hot = small(hot)
+    # at most (rows of big / rows_per_slice) keys; Spark broadcasts them by their real size
     left = (
         big.join(hot, keys, "left")
         .withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.coalesce("_slices", F.lit(1))).cast("int"))

@@ -158,7 +158,7 @@ def diff_hunks(lines: DataFrame, key: str = "id") -> DataFrame:
 
 def modified_files(files: DataFrame, key: str = "id") -> DataFrame:
     """Source paths of files that existed before."""
-    return files.filter(F.col("source").startswith("a/")).select(key, "file_no", F.substring("source", 3, 1 << 30).alias("path"))
+    return files.filter(F.col("source").startswith("a/")).select(key, "file_no", F.substr("source", F.lit(3)).alias("path"))
 
 
 def new_files(files: DataFrame, key: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import text as tx
+from patchloom.session import refuse_unknown
 
 # Withdrawn package and its replacement; lines requirements drop.
 REPLACED_PACKAGES = {"types-pkg_resources": "types-setuptools"}
@@ -47,9 +48,7 @@ def env_groups(instances: DataFrame, script: str = "script", existing: DataFrame
 def pending_keys(instances: DataFrame, ids: DataFrame, existing: DataFrame, force: bool = False, check: bool = True) -> DataFrame:
     """Instances of the id list whose ``env_key`` is not present, or all of them when forced."""
     if check:
-        unknown = [r[0] for r in ids.join(instances, "instance_id", "left_anti").select("instance_id").limit(20).collect()]
-        if unknown:
-            raise ValueError(f"unknown instance ids, among them: {' '.join(sorted(unknown))}")
+        refuse_unknown(ids.join(instances, "instance_id", "left_anti"), "instance ids outside the list")
     chosen = instances.join(ids.select("instance_id").distinct(), "instance_id", "left_semi")
     return chosen if force else chosen.join(existing.select("env_key"), "env_key", "left_anti")
 
@@ -101,7 +100,7 @@ def flatten_requirements(roots: DataFrame, files: DataFrame) -> DataFrame:
     is_include = tx.strip(line).startswith("-r")
     folder = F.when(F.col("path").contains("/"), F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"))).otherwise("")
     wanted = rows.filter(is_include).select(
-        *keys, "pos", F.concat(folder, tx.strip(F.substring(line, 3, 1 << 30))).alias("path")
+        *keys, "pos", F.concat(folder, tx.strip(F.substr(line, F.lit(3)))).alias("path")
     )
     included = wanted.join(files.select(*keys, "path", "text"), [*keys, "path"]).select(
         *keys, F.lit(0).alias("part"), "pos", F.posexplode(tx.lines(F.col("text"))).alias("sub", "line")

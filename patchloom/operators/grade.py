@@ -10,7 +10,7 @@ from patchloom.operators.logs.dispatch import (
     FAIL_ONLY_REPOS, PARSERS, parse_test_logs, parse_with, scan_logs, status_of_hits,
 )
 from patchloom.operators.logs.line_rules import LINE_RULES
-from patchloom.session import pin
+from patchloom.session import pin, refuse_unknown
 
 # Markers an evaluation run writes into its log.
 START_MARK = ">>>>> Start Test Output"
@@ -221,12 +221,10 @@ def work_list(
 
     ``done`` lists ids that have a report, ``ids`` an optional subset, ``with_logs``
     switches to rewrite mode, which keeps instances that have a log. With ``check``,
-    predictions for unknown instances raise an error that names some of them.
+    predictions for unknown instances raise an error that names the table of all of them.
     """
     if check:
-        unknown = [r[0] for r in unknown_predictions(preds, dataset).select("instance_id").limit(20).collect()]
-        if unknown:
-            raise ValueError(f"prediction ids not in the dataset, among them: {' '.join(sorted(unknown))}")
+        refuse_unknown(unknown_predictions(preds, dataset), "prediction ids not in the dataset")
     out = dataset
     if ids is not None:
         out = out.join(ids.select("instance_id").distinct(), "instance_id", "left_semi")

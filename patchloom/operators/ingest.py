@@ -76,9 +76,10 @@ def model_table(spark) -> DataFrame:
 
 
 def context_limit(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """Rows (model, n_tokens) that fit their model's context; the model table is a fixed list."""
-    return rows.join(F.broadcast(models.select("model", "max_tokens")), "model").filter(
-        F.col("n_tokens") <= F.col("max_tokens")).drop("max_tokens")
+    """Rows (model, n_tokens) that fit their model's context, and with an ``error`` those of unknown models."""
+    known = rows.join(models.select("model", "max_tokens"), "model", "left")
+    return known.filter(F.col("max_tokens").isNull() | F.col("n_tokens").isNull() | (F.col("n_tokens") <= F.col("max_tokens"))).withColumn(
+        "error", F.when(F.col("max_tokens").isNull(), F.lit("unknown model"))).drop("max_tokens")
 
 
 def short_first(rows: DataFrame, length: str, key: str) -> DataFrame:
@@ -184,21 +185,24 @@ def truncate_tokens_on_repeat(ids: Column, window: int = 100, min_unique: int =
 
 
 def costs(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """Rows (model, tokens_in, tokens_out) with ``cost`` as an exact decimal; models without a price drop out."""
-    priced = models.filter(F.col("cost_in").isNotNull() & F.col("cost_out").isNotNull())
+    """Rows (model, tokens_in, tokens_out) with ``cost`` as an exact decimal; without a price it is null and ``error`` says so."""
     cost = F.col("cost_in") * F.col("tokens_in").cast("decimal(10,0)") + F.col("cost_out") * F.col("tokens_out").cast("decimal(10,0)")
-    return rows.join(F.broadcast(priced.select("model", "cost_in", "cost_out")), "model").withColumn(
-        "cost", cost.cast("decimal(28,10)")).drop("cost_in", "cost_out")
+    return rows.join(models.select("model", "cost_in", "cost_out"), "model", "left").withColumn("cost", cost.cast("decimal(28,10)")).withColumn(
+        "error", F.when(F.col("cost_in").isNull() | F.col("cost_out").isNull(), F.lit("no price"))).drop("cost_in", "cost_out")
 
 
 def cost_by_model(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+    """(model, n, cost, error) per model; the cost of a model without a price is null."""
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.max("error").alias("error"))
 
 
 def cost_cap(rows: DataFrame, order: list, cap: float, keys: list[str] = ["model"]) -> DataFrame:
-    """Rows of each key, in order, until the running cost reaches ``cap``; the row that reaches it is kept."""
+    """Rows of each key, in order, until the running cost reaches ``cap``; the row that reaches it is kept.
+
+    A row without a cost adds nothing and stays like the others.
+    """
     summed = with_running_sum(rows, keys, order, "cost", "cost_before")
-    return summed.filter(F.col("cost_before") < cap)
+    return summed.withColumn("cost_before", F.coalesce("cost_before", F.lit(0).cast("decimal(38,10)"))).filter(F.col("cost_before") < cap)
 
 
 def typed_arguments(rows: DataFrame, key: str, args: str = "args") -> DataFrame:

@@ -8,7 +8,6 @@ from patchloom.functions import text as tx
 from patchloom.operators import prompt_texts as P
 from patchloom.operators.diffs import is_test_path
 
-MAX_TEXT_CHARS = 5_000_000
 IGNORED_LABEL = -100
 WINDOW_MARGIN = 15
 
@@ -199,10 +198,6 @@ def validation_split(rows: DataFrame, ratio: float = 0.01, seed: int = 42, key:
     return rows.withColumn("split", F.when(bucket < int(ratio * 1_000_000), "validation").otherwise("train"))
 
 
-def drop_long_texts(rows: DataFrame, text: str = "text") -> DataFrame:
-    return rows.filter(F.length(text) <= MAX_TEXT_CHARS)
-
-
 def train_labels(inputs: Column, labels: Column) -> tuple[Column, Column]:
     """(input_ids, labels) for training: the label's last token is no input, and every input but the last is masked."""
     n = F.size(labels)

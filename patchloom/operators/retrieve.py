@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchloom.functions import text as tx
-from patchloom.functions.joins import salted_join, small
+from patchloom.functions.joins import salted_join
 from patchloom.functions.tokens import analyse
 from patchloom.operators.diffs import gold_files
 from patchloom.session import pin
@@ -108,7 +108,7 @@ def bm25_topk(
     words = docs.select("corpus", "docid", analyser(F.col("contents")).alias("w"))
     postings = pin(
         words.select("corpus", "docid", F.size("w").alias("dl"), F.explode(F.array_append("w", every)).alias("term"))
-        .join(small(asked, 500_000), ["corpus", "term"], "left_semi")
+        .join(asked, ["corpus", "term"], "left_semi")
         .groupBy("corpus", "term", "docid", "dl").agg(F.count(F.lit(1)).alias("tf"))
     )
     stats = postings.filter(F.col("term") == every).groupBy("corpus").agg(
@@ -141,7 +141,7 @@ def recall_of(hits: DataFrame, gold: DataFrame, key: str = "instance_id") -> Dat
 def recall_from_text(rows: DataFrame, key: str = "instance_id") -> DataFrame:
     """(key, n_gold, recall) read back from prompts (``text``) and gold patches (``patch``)."""
     blocks = tx.find_all(F.col("text"), FILE_BLOCK, 1, "s")
-    blocks = F.when(F.lower(F.get(blocks, F.lit(0))).contains("readme"), F.slice(blocks, 2, 1 << 30)).otherwise(blocks)
+    blocks = F.when(F.lower(F.get(blocks, F.lit(0))).contains("readme"), F.slice(blocks, F.lit(2), F.size(blocks))).otherwise(blocks)
     gold = gold_files(F.coalesce("patch", F.lit("")))
     return rows.select(key, F.size(gold).alias("n_gold"), F.size(F.array_intersect(blocks, gold)).alias("_n")).filter(
         F.col("n_gold") > 0).select(key, "n_gold", (F.col("_n") / F.col("n_gold")).alias("recall"))
@@ -214,7 +214,7 @@ def import_edges(files: DataFrame) -> DataFrame:
     return target.join(placed, ["repo", "commit", "dir"]).select("repo", "commit", "src", F.col("path").alias("dst")).distinct()
 
 
-def import_closure(edges: DataFrame, seeds: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
+def import_closure(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, seed, node): every node reachable from each seed, the seed included.
 
     One join per round over the newly reached rows only; each round is written to the
@@ -222,7 +222,7 @@ def import_closure(edges: DataFrame, seeds: DataFrame, keys: list[str], max_roun
     """
     reached = pin(seeds.select(*keys, "seed", F.col("seed").alias("node")).distinct())
     frontier = reached
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(edges.withColumnRenamed("src", "node"), [*keys, "node"]).select(
             *keys, "seed", F.col("dst").alias("node")
         ).distinct()
@@ -230,7 +230,6 @@ def import_closure(edges: DataFrame, seeds: DataFrame, keys: list[str], max_roun
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def readme_files(files: DataFrame, shortest_only: bool = False) -> DataFrame:

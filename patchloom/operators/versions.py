@@ -154,7 +154,7 @@ def releases_from_docs(pages: DataFrame, html: str = "html") -> DataFrame:
     parts = F.split("ref", "-")
     version = F.concat_ws(".", F.slice(parts, 1, 2))
     date = first_date(
-        F.initcap(F.array_join(F.slice(parts, 4, 1000), " ")), ("MMMM d yyyy", "d MMMM yyyy")
+        F.initcap(F.array_join(F.slice(parts, F.lit(4), F.size(parts)), " ")), ("MMMM d yyyy", "d MMMM yyyy")
     )
     return refs.select("repo", date.alias("date"), version.alias("version")).filter("date IS NOT NULL").distinct()
 

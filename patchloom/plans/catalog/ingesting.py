@@ -39,9 +39,9 @@ def _(spark, sf_dir):
 _LIMIT = "(VALUES ('claude-2', 100000), ('gpt-4-0613', 8192), ('gpt-4-32k-0613', 32768), ('gpt-3.5-turbo-0613', 4097), ('gpt-3.5-turbo-1106', 16385), ('claude-3-haiku-20240307', 200000)) m(model, lim)"
 
 
-@query("context_limit", f"SELECT id, model, n_tokens FROM v_requests JOIN {_LIMIT} USING (model) WHERE n_tokens <= lim")
+@query("context_limit", f"SELECT id, model, n_tokens, CASE WHEN lim IS NULL THEN 'unknown model' END AS error FROM v_requests LEFT JOIN {_LIMIT} USING (model) WHERE lim IS NULL OR n_tokens <= lim")
 def _(spark, sf_dir):
-    return ingest.context_limit(load(spark, sf_dir, "v_requests"), ingest.model_table(spark)).select("id", "model", "n_tokens")
+    return ingest.context_limit(load(spark, sf_dir, "v_requests"), ingest.model_table(spark)).select("id", "model", "n_tokens", "error")
 
 
 def _sized(spark, sf_dir):
@@ -93,7 +93,7 @@ _BUDGET = "CASE WHEN lim IS NULL THEN CASE WHEN id % 2 = 0 THEN 500 ELSE 200 END
 
 def _budgets(spark, sf_dir):
     limits = ingest.model_table(spark).select("model", "max_tokens")
-    rows = load(spark, sf_dir, "v_requests").join(F.broadcast(limits), "model", "left")
+    rows = load(spark, sf_dir, "v_requests").join(limits, "model", "left")
     budget = ingest.output_budget(F.col("n_tokens"), F.when(F.col("id") % 2 == 0, 500).otherwise(-1), F.col("max_tokens"), 64)
     return rows.select("id", "model", budget.cast("long").alias("budget"))
 
@@ -128,7 +128,7 @@ def _(spark, sf_dir):
 
 
 _PRICE = """(VALUES ('claude-2', 11.02, 32.68), ('gpt-4-0613', 30.0, 60.0), ('gpt-4-32k-0613', 60.0, 120.0), ('gpt-3.5-turbo-1106', 1.0, 2.0), ('claude-3-haiku-20240307', 0.25, 1.25)) p(model, pin, pout)"""
-_COST = f"c AS (SELECT id, model, CAST((pin::DECIMAL(18,2) * tokens_in + pout::DECIMAL(18,2) * tokens_out) * 100 AS BIGINT) AS units FROM v_requests JOIN {_PRICE} USING (model))"
+_COST = f"c AS (SELECT id, model, CAST((pin::DECIMAL(18,2) * tokens_in + pout::DECIMAL(18,2) * tokens_out) * 100 AS BIGINT) AS units, CASE WHEN pin IS NULL THEN 'no price' END AS error FROM v_requests LEFT JOIN {_PRICE} USING (model))"
 
 
 def _costs(spark, sf_dir):
@@ -139,17 +139,17 @@ def _dollars(c):
     return F.round(F.col(c).cast("double"), 6)
 
 
-@query("cost_by_model", f"WITH {_COST} SELECT model, count(*) AS n, round(sum(units)::DOUBLE / 1e8, 6) AS cost FROM c GROUP BY 1")
+@query("cost_by_model", f"WITH {_COST} SELECT model, count(*) AS n, round(sum(units)::DOUBLE / 1e8, 6) AS cost, max(error) AS error FROM c GROUP BY 1")
 def _(spark, sf_dir):
     return ingest.cost_by_model(_costs(spark, sf_dir)).withColumn("cost", _dollars("cost"))
 
 
 @query("cost_cap", f"""WITH {_COST}, r AS (SELECT *, coalesce(sum(units) OVER (PARTITION BY model ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-  SELECT id, model, units, before::BIGINT AS units_before FROM r WHERE before < 2500000000""")
+  SELECT id, model, units, before::BIGINT AS units_before, error FROM r WHERE before < 2500000000""")
 def _(spark, sf_dir):
     kept = ingest.cost_cap(_costs(spark, sf_dir), ["id"], 25.0)
     units = lambda c: (F.col(c) * 100_000_000).cast("long")
-    return kept.select("id", "model", units("cost").alias("units"), units("cost_before").alias("units_before"))
+    return kept.select("id", "model", units("cost").alias("units"), units("cost_before").alias("units_before"), "error")
 
 
 _ARGS = """(SELECT event_id, 'k=' || CAST(user_id AS STRING) || CASE event_id % 6 WHEN 0 THEN ',a=True,b=None' WHEN 1 THEN ',t=0.' || CAST(event_id % 10 AS STRING) || ',u=1.2.3' WHEN 2 THEN ',l=[],d={}'

@@ -206,7 +206,7 @@ def _(spark, sf_dir):
 
 
 def _ids(spark, sf_dir):
-    docs = prompts.drop_long_texts(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
     return tk.token_ids(docs, tk.vocabulary(docs), "doc_id")
 
 

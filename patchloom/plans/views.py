@@ -21,7 +21,6 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
-FACTS = ("orders", "lineitem", "events", "documents", "pages", "conversations")
 VIEWS: dict[str, str] = {}
 TEXTS: dict[str, tuple[str, ...]] = {}
 NL = "chr(10)"
@@ -61,6 +60,10 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+def READ(spark: SparkSession, path: str) -> DataFrame:  # noqa: N802  (a runner on small files may put its own here)
+    return spark.read.parquet(path)
+
+
 _LOADED: dict[tuple, DataFrame] = {}
 
 
@@ -74,17 +77,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _once(spark, sf_dir, name, lambda: (spread if name in FACTS else lambda d: d)(spark.read.parquet(path)))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer splits than cores to all cores.
-
-    The work behind these views is per row and heavy, and a single small file would run
-    it in one task. An input with enough splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return _once(spark, sf_dir, name, lambda: READ(spark, path))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_FOLDERS: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -29,18 +32,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def pin(df: DataFrame) -> DataFrame:
+def _drop_pinned(spark: SparkSession, folder: str) -> None:
+    """Delete what a session has pinned, while it can still reach the store."""
+    if spark.sparkContext._jsc is None:  # stopped already
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pinned_folder(spark: SparkSession) -> str:
+    """Folder of the tables that this session pins; it goes when the process ends in order."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        _FOLDERS[application] = f"{ensure_checkpoint_dir(spark)}/pinned/{application}-{uuid.uuid4().hex}"
+        atexit.register(_drop_pinned, spark, _FOLDERS[application])
+    return _FOLDERS[application]
+
+
+def pin(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once below the checkpoint folder and go on from that table.
 
     Later stages read only the columns they need, know the size of the table, and
     survive the loss of any executor without repeating what made it.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/pinned/{uuid.uuid4().hex}"
+    path = path or f"{pinned_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse_unknown(ids: DataFrame, what: str) -> None:
+    """Raise an error when there are ``ids`` (instance_id); it names the table that lists them all."""
+    path = f"{ensure_checkpoint_dir(ids.sparkSession)}/unknown/{uuid.uuid4().hex}"
+    row = pin(ids.select("instance_id").distinct(), path).agg(F.count(F.lit(1)).alias("n"), F.min("instance_id").alias("first")).first()
+    if row["n"]:
+        raise ValueError(f"{row['n']} {what}, the first is {row['first']}; all of them are in {path}")
+
+
 def local_session(cores: int | str = 8, app: str = "patchloom", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
