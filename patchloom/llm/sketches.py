@@ -8,10 +8,11 @@ few go into inverted lists; a passage that very many documents hold comes last a
 listed. What a list proposes is filtered by the estimate from the union of the two sketches and
 verified by the exact Jaccard similarity of the full sets.
 
-Documents with equal sets are one class from the start. A list first proposes one link per
-member, to its smallest member; components of verified links are found, and then lists propose
-only pairs of different components. A group of copies thus costs a link for each copy, and no
-pair of different components that a list holds goes untested.
+Documents with equal sets are one class from the start. A list ties each member to its smallest
+member, one row each; what ties connect is a candidate group. All members of a group are compared
+with each other inside tasks, block by block, first by sketches and then by full sets, and a block
+gives one row for each member of a linked part. So a group of thousands of copies makes no list
+of pairs, and no pair that a list holds goes untested.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patchloom.llm.components import components
+from patchloom.llm.components import components, forest
 from patchloom.llm.words import Words, batches, mix
 from patchloom.session import pin
 
 K = 48  # values of a sketch
+LEAST_BLOCK, MOST_BLOCK, EVEN_BLOCKS = 64, 2048, 16  # rows of a block of a group, see _block_count
 _SURE = 5  # standard deviations of sketch overlap that candidates may fall short by
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -89,24 +91,107 @@ def least_overlap(n: Column, percent: int, k: int = K) -> Column:
     return F.least(F.lit(max(1, usual)), F.ceil(n * percent / 100)).cast("int")
 
 
-def _fits(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _same_part(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest position (rows first, then columns) that each row and each column of ``near`` reaches."""
+    rows, columns = np.nonzero(near)
+    n = near.shape[0] + near.shape[1]
+    part = np.arange(n)
+    if len(rows):
+        nodes, roots = forest(rows, columns + near.shape[0])
+        part[nodes] = roots
+    return part[: near.shape[0]], part[near.shape[0]:]
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Number of common values of each set on the left and each on the right."""
+    lv, rv = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(lv, rv)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    for at in range(0, len(common), columns):
+        part = common[at:at + columns]
+        sides = []
+        for values, own, n in ((lv, owner[0], len(left)), (rv, owner[1], len(right))):
+            place = np.searchsorted(part, values)
+            hit = (place < len(part)) & (part[np.minimum(place, len(part) - 1)] == values)
+            m = np.zeros((n, len(part)), dtype=np.float32)
+            m[own[hit], place[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _likely(left: list[np.ndarray], right: list[np.ndarray], k: int, percent: int) -> np.ndarray:
+    """Pairs whose similarity, estimated from the union of both sketches, may reach the threshold.
+
+    Up to the smaller of the two largest values both sketches hold all that their sets hold.
+    """
+    shared = _shared(left, right)
+    ends = [np.array([s[-1] if len(s) == k else np.iinfo(np.int64).max for s in side]) for side in (left, right)]
+    upto_left = np.stack([np.searchsorted(s, np.minimum(e, ends[1]), side="right") for s, e in zip(left, ends[0], strict=True)])
+    upto_right = np.stack([np.searchsorted(s, np.minimum(e, ends[0]), side="right") for s, e in zip(right, ends[1], strict=True)]).T
+    union = upto_left + upto_right - shared
+    p = percent / 100
+    return shared >= p * union - _SURE * np.sqrt(p * (1 - p) * union)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough: (a, b, linked)."""
-    sketch = lambda side: classes.select(F.col("id").alias(side), F.col("values").alias(f"_{side}"))
-    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
-    union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(union, F.col("_a")), F.col("_b")))
-    p = percent / 100
-    least = p - _SURE * F.sqrt(F.lit(p * (1 - p)) / F.size(union))
-    likely = pin(both.filter(shared >= least * F.size(union)).select("a", "b"))
-    sets = sets_of(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
-    full = lambda side: sets.select(F.col("id").alias(side), F.col("values").alias(f"_{side}"))
-    common = F.size(F.array_intersect("_a", "_b"))
-    joined = likely.join(full("a"), "a").join(full("b"), "b").withColumn("_i", common)
-    return pin(joined.select("a", "b", (F.col("_i") * 100 >= (F.size("_a") + F.size("_b") - F.col("_i")) * percent).alias("linked")))
+def _compare(percent: int, k: int):
+    """Rows (id, root) of linked members from rows (key of the block pair, same, block, id, values), sorted by key.
+
+    ``values`` are the full sets in sorted order, so their first ``k`` are the sketches.
+    """
+    def linked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        first = min(r[1] for r in rows)
+        left = [r for r in rows if r[1] == first]
+        right = left if rows[0][0] else [r for r in rows if r[1] != first]
+        none = np.zeros(0, dtype=np.int64)
+        if not right:
+            return none, none
+        sets = [[r[3] for r in side] for side in (left, right)]
+        near = _likely(*([s[:k] for s in side] for side in sets), k, percent)
+        if left is right:
+            np.fill_diagonal(near, False)
+        if near.any():
+            at = near.any(1), near.any(0)
+            some = [[s for s, use in zip(side, used, strict=True) if use] for side, used in zip(sets, at, strict=True)]
+            common = _shared(*some)
+            sizes = [np.array([len(s) for s in side], dtype=np.float64) for side in some]
+            exact = common * 100.0 >= (sizes[0][:, None] + sizes[1][None, :] - common) * percent
+            near[np.ix_(*at)] &= exact
+        if left is right:
+            np.fill_diagonal(near, True)  # the two sides of a set are one
+        ids = np.array([r[2] for r in left] + [r[2] for r in right], dtype=np.int64)
+        roots = ids[np.concatenate(_same_part(near))]
+        moved = ids != roots
+        return ids[moved], roots[moved]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            columns = [np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*found, strict=True)] or [np.zeros(0, dtype=np.int64)] * 2
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "root"])
+
+        rows: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+        for batch in stream:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            blocks, ids, values = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            for key, block, one, value in zip(keys, blocks, ids, values, strict=True):
+                if key != now:
+                    if rows:
+                        found.append(linked(rows))
+                    rows, now = [], key
+                rows.append((key[1] == key[2], block, one, value.values.to_numpy()))
+            yield table(found)
+            found = []
+        if rows:
+            yield table([linked(rows)])
+    return run
+
+
+def _block_count(size: Column) -> Column:
+    """Up to EVEN_BLOCKS blocks of LEAST_BLOCK rows, so that a large group fills many tasks; then larger ones."""
+    return F.greatest(F.least(F.ceil(size / LEAST_BLOCK), F.lit(EVEN_BLOCKS)), F.ceil(size / MOST_BLOCK)).cast("int")
 
 
 def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int, k: int) -> DataFrame:
@@ -125,7 +210,7 @@ def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int, k: i
         full = _described(found, "_text", words, None).filter("h1 = _h1 AND h2 = _h2")
         return pin(full.dropDuplicates(["id"]).select("id", "values"))
 
-    reached = components(_links(classes, sets_of, percent, k))
+    reached = components(_links(classes, sets_of, percent, k), "id", "root")
     of_class = classes.select("h1", "h2", "id").join(reached, F.col("id") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("component", "id").alias("_component"))
     return pin(described.select("_key", "_k", "_t", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left").select(
@@ -169,29 +254,21 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def _links(classes: DataFrame, sets_of, percent: int, k: int) -> DataFrame:
-    """Verified links (a, b) between classes that join all that are linked."""
+    """Links (id, root) between classes that join all that are linked, and no others."""
     held = classes.select("id", F.explode("values").alias("v"))
     shared = pin(held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     sizes = classes.select("id", "n", F.size("values").alias("_s"))
     ranked = held.join(shared, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("_values"))  # at most k
     indexed = F.col("_s") - least_overlap(F.col("n"), percent, k) + 1  # values to list, counting those that no other sketch holds
     listed = F.greatest(F.lit(0), indexed - (F.col("_s") - F.size("_values")))
-    lists = pin(ranked.join(sizes, "id").select("id", "n", F.explode(F.slice(F.col("_values.v"), F.lit(1), listed)).alias("v")))
-    # a list proposes one link for each member
-    heads = lists.groupBy("v").agg(F.min(F.struct("n", "id")).alias("_head"))
-    stars = lists.join(heads, "v").filter(F.col("id") != F.col("_head.id")).filter(_fits(F.col("n"), F.col("_head.n"), percent)).select(
-        F.least("id", "_head.id").alias("a"), F.greatest("id", "_head.id").alias("b")).distinct()
-    tested = _verified(pin(stars), classes, sets_of, percent, k)
-    links = tested.filter("linked").select("a", "b")
-    # then whatever pairs of different components it still holds
-    reached = components(links)
-    placed = pin(lists.join(reached, F.col("id") == F.col("node"), "left").select("v", "id", "n", F.coalesce("component", "id").alias("c")))
-    mixed = placed.groupBy("v").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo < _hi").select("v")
-    rest = pin(placed.join(mixed, "v"))
-    left, right = (rest.select("v", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("c").alias(f"c_{i}")) for i in ("a", "b"))
-    pairs = left.join(right, "v").filter(
-        (F.col("c_a") < F.col("c_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
-    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    failed = tested.filter("NOT linked").select("a", "b")
-    more = _verified(pin(pairs.join(failed, ["a", "b"], "left_anti")), classes, sets_of, percent, k)
-    return links.unionByName(more.filter("linked").select("a", "b"))
+    lists = pin(ranked.join(sizes, "id").select("id", F.explode(F.slice(F.col("_values.v"), F.lit(1), listed)).alias("v")))
+    heads = lists.groupBy("v").agg(F.min("id").alias("_head"))
+    ties = lists.join(heads, "v").filter("id <> _head").select("id", "_head").distinct()
+    grouped = components(ties, "id", "_head")
+    full = sets_of(grouped.select(F.col("node").alias("id"))).join(grouped, F.col("id") == F.col("node"))
+    blocks = grouped.groupBy("component").agg(_block_count(F.count(F.lit(1))).alias("blocks"))
+    placed = full.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "values")
+    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return pin(dealt.mapInArrow(_compare(percent, k), "id long, root long"))
