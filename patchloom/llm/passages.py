@@ -12,8 +12,10 @@ equal anchors, so
    windows themselves, word by word, and reports stretches of windows that occur twice;
 4. the reported stretches of a document are joined back to it and their words removed.
 
-A phrase with very many occurrences is spread over several shards. Its windows are then counted
-by a sum that is taken before the shuffle, and every shard gets those that recur.
+Equal documents are one text that counts twice: all their windows recur, and only phrases that
+other texts hold too, or that the text repeats, are looked into. A phrase with very many
+occurrences is spread over several shards. Its windows are then counted by a sum that is taken
+before the shuffle, and every shard gets those that recur.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from patchloom.llm.words import Words, batches
 from patchloom.session import pin
 
 WINDOW, PHRASE = 35, 12
-HOT = 1500  # occurrences of a phrase beyond which it is spread over shards of about that size
+HOT = 20_000  # occurrences of a phrase beyond which it is spread over shards of about that size
+_NO_END = (1 << 31) - 1
 _CHUNK = 8192  # stretches whose phrases share an automaton
 
 
@@ -75,15 +78,17 @@ def _find_anchors(window: int, phrase: int):
 
 
 def _cut_stretches(window: int, phrase: int):
-    """(h, hot, slices, d, m, start, off, words) around each recurring anchor of a document."""
+    """(h, slices, d, m, weight, start, off, words) around each recurring anchor of a text."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             out: list[tuple] = []
-            for d, m, text, places in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for d, m, weight, text, places in zip(*(batch.column(i) for i in range(5)), strict=True):
                 words = text.as_py().split()
-                for p in places.as_py():
-                    a, b = max(0, p["pos"] - (window - phrase)), min(len(words), p["pos"] + window)
-                    out.append((p["h"], p["slices"], d.as_py(), m.as_py(), a, p["pos"] - a, b" ".join(words[a:b])))
+                name = d.as_py(), m.as_py(), weight.as_py()
+                at, phrases, slices = (places.values.field(i).to_pylist() for i in range(3))
+                for pos, h, n in zip(at, phrases, slices, strict=True):
+                    a = max(0, pos - (window - phrase))
+                    out.append((h, n, *name, a, pos - a, b" ".join(words[a:pos + window])))
                 if len(out) > 20_000:
                     yield _stretches(out)
                     out = []
@@ -91,11 +96,11 @@ def _cut_stretches(window: int, phrase: int):
     return run
 
 
-_STRETCH = "h long, slices int, d long, m int, start int, off int, words binary"
+_STRETCH = "h long, slices int, d long, m int, weight int, start int, off int, words binary"
 
 
 def _stretches(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split(" ")[0] for f in _STRETCH.split(", ")])
 
@@ -113,10 +118,10 @@ def _count_windows(window: int, phrase: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             seen: Counter[tuple[int, int]] = Counter()
-            for h, off, joined in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = joined.as_py().split()
+            for h, off, weight, joined in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = joined.split()
                 for a in _starts(len(words), off, window, phrase):
-                    seen[h, _window_hash(words, a, off, window)] += 1
+                    seen[h, _window_hash(words, a, off, window)] += weight
             yield pa.RecordBatch.from_arrays(
                 [pa.array([h for h, _ in seen], pa.int64()), pa.array([w for _, w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "w", "n"])
     return run
@@ -138,41 +143,46 @@ class _Shard:
         automaton = ahocorasick.Automaton()
         prepared = []
         for known, rows in groups:
+            alike: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}  # equal stretches are looked into once
+            for d, m, weight, start, off, joined in rows:
+                alike.setdefault((off, joined), []).append((d, m, weight, start))
             own = []
-            for d, m, start, off, joined in rows:
+            for (off, joined), places in alike.items():
                 words = joined.split()
                 line = spelled(words)
-                automaton.add_word(line[off:off + self.phrase], len(automaton))
-                own.append((d, m, start, off, words, line))
+                held = line[off:off + self.phrase]
+                if held not in automaton:
+                    automaton.add_word(held, None)
+                own.append((off, words, line, places))
             prepared.append((known, own))
         automaton.make_automaton()
-        for known, rows in prepared:
-            places = []
-            counts: Counter[tuple[int, int, str]] = Counter()
-            for d, m, start, off, words, line in rows:
-                found = [i for end, i in automaton.iter(line) if end - self.phrase + 1 == off]
-                for phrase in found:
-                    windows = []
-                    for a in _starts(len(words), off, self.window, self.phrase):
-                        key = (phrase, off - a, line[a:a + self.window])
-                        if known is None:
-                            counts[key] += 1
-                            windows.append((a, key))
-                        elif _window_hash(words, a, off, self.window) in known:
-                            windows.append((a, None))
-                    places.append((d, m, start, windows))
-            for d, m, start, windows in places:
-                lo = hi = -1
-                for a, key in windows:
-                    if key is not None and counts[key] < 2:
+        for known, stretches in prepared:
+            counts: Counter[tuple[int, str]] = Counter()
+            seen = []
+            for off, words, line, places in stretches:
+                if not any(end - self.phrase + 1 == off for end, _ in automaton.iter(line, 0, off + self.phrase)):
+                    continue
+                starts = _starts(len(words), off, self.window, self.phrase)
+                if known is None:
+                    keys = [(off - a, line[a:a + self.window]) for a in starts]
+                    weight = sum(w for _, _, w, _ in places)
+                    for key in keys:
+                        counts[key] += weight
+                    seen.append((starts, keys, places))
+                else:
+                    seen.append(([a for a in starts if _window_hash(words, a, off, self.window) in known], None, places))
+            for starts, keys, places in seen:
+                spans: list[list[int]] = []
+                for i, a in enumerate(starts):
+                    if keys is not None and counts[keys[i]] < 2:
                         continue
-                    if a > hi:
-                        if hi >= 0:
-                            yield d, m, start + lo, start + hi
-                        lo = a
-                    hi = a + self.window
-                if hi >= 0:
-                    yield d, m, start + lo, start + hi
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = a + self.window
+                    else:
+                        spans.append([a, a + self.window])
+                for lo, hi in spans:
+                    for d, m, _, start in places:
+                        yield d, m, start + lo, start + hi
 
 
 def _locate(window: int, phrase: int):
@@ -187,7 +197,7 @@ def _locate(window: int, phrase: int):
         groups: list = []
         size, now = 0, None
         for batch in stream:
-            for h, piece, slices, w, d, m, start, off, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, piece, slices, w, d, m, weight, start, off, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (h, piece) != now:
                     if size >= _CHUNK:
                         yield table(groups)
@@ -197,36 +207,38 @@ def _locate(window: int, phrase: int):
                 if joined is None:
                     groups[-1][0].add(w)
                 else:
-                    groups[-1][1].append((d, m, start, off, joined))
+                    groups[-1][1].append((d, m, weight, start, off, joined))
                     size += 1
         yield table(groups)
     return run
 
 
 def recurring_spans(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(d, m, spans) of documents with recurring windows; ``rows`` is (d, m, text binary), d and m name a document.
+    """(d, m, spans) of texts with recurring windows; ``rows`` is (d, m, text binary), d and m name the text.
 
-    Spans are (lo, hi) word ranges, at most one for each anchor and possibly overlapping. Rows
-    with the same name are taken for equal documents.
+    Spans are (lo, hi) word ranges and may overlap; that of equal documents has no end.
     """
     found = pin(rows.mapInArrow(_find_anchors(window, phrase), "d long, m int, pos int, h long"))
-    again = pin(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / HOT).cast("int").alias("slices")))
+    place = F.struct("d", "m", "pos")
+    again = found.groupBy("h").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi")
+    again = pin(again.select("h", F.ceil(F.col("n") / HOT).cast("int").alias("slices")))
     places = found.join(again, "h").groupBy("d", "m").agg(F.collect_set(F.struct("pos", "h", "slices")).alias("places"))
-    cut = rows.join(places, ["d", "m"]).select("d", "m", "text", "places").mapInArrow(_cut_stretches(window, phrase), _STRETCH)
-    cut = pin(cut)
+    texts = rows.groupBy("d", "m").agg(F.first("text").alias("text"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"))
+    cut = pin(texts.join(places, ["d", "m"]).select("d", "m", "weight", "text", "places").mapInArrow(_cut_stretches(window, phrase), _STRETCH))
     hot = cut.filter("slices > 1")
-    windows = hot.select("h", "off", "words").mapInArrow(_count_windows(window, phrase), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).filter("n > 1")
-    empty = {c: F.lit(None).cast(k) for c, k in (("d", "long"), ("m", "int"), ("start", "int"), ("off", "int"), ("words", "binary"))}
+    windows = hot.select("h", "off", "weight", "words").mapInArrow(_count_windows(window, phrase), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).filter("n > 1")
+    empty = {c: F.lit(None).cast(k) for c, k in (("d", "long"), ("m", "int"), ("weight", "int"), ("start", "int"), ("off", "int"), ("words", "binary"))}
     recurring = windows.select("h", "w").join(again.filter("slices > 1"), "h").withColumn(
         "piece", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumns(empty)
     stretches = cut.withColumn("piece", F.pmod(F.xxhash64("d", "start"), F.col("slices")).cast("int")).withColumn("w", F.lit(None).cast("long"))
-    columns = ["h", "piece", "slices", "w", "d", "m", "start", "off", "words"]
+    columns = ["h", "piece", "slices", "w", "d", "m", "weight", "start", "off", "words"]
     dealt = stretches.select(*columns).unionByName(recurring.select(*columns)).repartition("h", "piece").sortWithinPartitions("h", "piece", F.col("words").isNotNull())
     spans = dealt.mapInArrow(_locate(window, phrase), "d long, m int, lo int, hi int")
-    return spans.groupBy("d", "m").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    copies = rows.groupBy("d", "m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "m", F.lit(0).alias("lo"), F.lit(_NO_END).alias("hi"))
+    return spans.unionByName(copies).groupBy("d", "m").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _strip(rejoin: bool):
+def _strip(rejoin: bool, window: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             totals, removed, kept = [], [], []
@@ -234,7 +246,8 @@ def _strip(rejoin: bool):
                 words = (text.as_py() or b"").split()
                 gone = np.zeros(len(words), dtype=bool)
                 for s in spans.as_py() or ():
-                    gone[s["lo"]:s["hi"]] = True
+                    if s["hi"] != _NO_END or len(words) >= window:
+                        gone[s["lo"]:s["hi"]] = True
                 totals.append(len(words))
                 removed.append(int(gone.sum()))
                 if removed[-1]:
@@ -247,15 +260,15 @@ def _strip(rejoin: bool):
     return run
 
 
-def _stripped(docs: DataFrame, key: str, text: str, window: int, phrase: int, carry: list[str], rejoin: bool) -> DataFrame:
+def _stripped(docs: DataFrame, text: str, window: int, phrase: int, carry: list[str], rejoin: bool) -> DataFrame:
     """(_row, a struct of the carried columns, n_words, n_removed, kept)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    name = [F.xxhash64(F.col(key).cast("string"), body).alias("d"), F.hash(body, F.lit(7)).alias("m")]
+    name = [F.xxhash64(body).alias("d"), F.hash(body, F.lit(7)).alias("m")]
     spans = pin(recurring_spans(docs.select(*name, body.alias("text")), window, phrase))
     packed = docs.select(F.struct(*carry).alias("_row"), *name, F.col(text).cast("binary").alias("_text"))
     joined = packed.join(spans, ["d", "m"], "left").select("_row", "_text", "spans")
     schema = joined.select("_row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit(None).cast("string")}).schema
-    return joined.mapInArrow(_strip(rejoin), schema)
+    return joined.mapInArrow(_strip(rejoin, window), schema)
 
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -265,16 +278,16 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     have no words and give an empty string; repeated rows lose whatever they share, that is all
     words of texts with at least ``window`` words. Windows are judged on the input.
     """
-    return _stripped(docs, key, text, window, phrase, [key], True).select(F.col("_row")[key].alias(key), "n_words", "n_removed", "kept")
+    return _stripped(docs, text, window, phrase, [key], True).select(F.col("_row")[key].alias(key), "n_words", "n_removed", "kept")
 
 
-def strip_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, length: str | None = None) -> DataFrame:
+def strip_passages(docs: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE, length: str | None = None) -> DataFrame:
     """``docs`` with the recurring words of its texts removed; texts that lose nothing stay as they are.
 
     ``length`` names a column that holds the text's length in code points and is brought up to
     date. All rows and other columns stay, also those of texts that lose all words.
     """
     others = [c for c in docs.columns if c != text]
-    made = _stripped(docs, key, text, window, phrase, others, False)
+    made = _stripped(docs, text, window, phrase, others, False)
     field = lambda c: F.length("kept").cast(docs.schema[c].dataType) if c == length else F.col("_row")[c]
     return made.select(*(F.col("kept").alias(c) if c == text else field(c).alias(c) for c in docs.columns))
