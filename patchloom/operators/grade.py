@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from patchloom.functions import text as tx
 from patchloom.operators.logs.base import ERROR, FAILED, PASSED, XFAIL
 from patchloom.operators.logs.dispatch import (
-    FAIL_ONLY_REPOS, PARSERS, parse_test_logs, parse_with, scan_logs, status_of_hits,
+    FAIL_ONLY_REPOS, PARSERS, UNKNOWN_FORMAT, parse_test_logs, parse_with, scan_logs, status_of_hits,
 )
-from patchloom.operators.logs.line_rules import LINE_RULES
 from patchloom.session import pin, refuse_unknown
 
 # Markers an evaluation run writes into its log.
@@ -59,22 +58,18 @@ def parse_found_logs(logs: DataFrame, keys: list[str], parser: str | None = None
 
 
 def grade_logs(logs: DataFrame, keys: list[str], parser: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(runs, status): runs has keys, repo and found; status has keys, test and status.
+    """(runs, status): runs has keys, repo, found, gradable and error; status has keys, test and status.
 
-    Both come from one stored scan result, so the logs, by far the largest input, are
-    read once. Formats that carry state between lines read their own logs once more.
+    Both come from one stored scan result, so the logs, by far the largest input, are read
+    once, whatever their formats. Without ``parser``, ``logs`` names the format of each log in
+    a ``parser`` column; a log of an unknown format is found but not gradable, and its
+    ``error`` says why. Grade the gradable runs only.
     """
-    windowed = log_window(logs)
-    if parser and parser not in LINE_RULES:
-        return windowed.select(*keys, "repo", "found"), parse_found_logs(logs, keys, parser)
     columns = [*keys, "repo", "found"] + ([] if parser else ["parser"])
-    scanned = pin(scan_logs(windowed, keys, "body", parser).select(*columns, "hits"))
-    status = status_of_hits(scanned.filter("found"), keys)
-    if not parser:
-        others = [n for n in PARSERS if n not in LINE_RULES]
-        found = windowed.filter(F.col("found") & F.col("parser").isin(*others))
-        status = status.unionByName(parse_test_logs(found, keys, only=others, body="body"))
-    return scanned.select(*keys, "repo", "found"), status
+    scanned = pin(scan_logs(log_window(logs), keys, "body", parser).select(*columns, "hits"))
+    known = F.lit(True) if parser else F.col("parser").isNotNull() & F.col("parser").isin(*PARSERS)
+    runs = scanned.select(*keys, "repo", "found", (F.col("found") & known).alias("gradable"), F.when(F.col("found") & ~known, UNKNOWN_FORMAT).alias("error"))
+    return runs, status_of_hits(scanned.filter("found"), keys)
 
 
 def outcome(status: Column, fail_only: Column) -> Column:

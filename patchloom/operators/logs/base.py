@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import text as tx
 
@@ -41,12 +39,12 @@ def log_lines(logs: DataFrame, keys: list[str], log: str = "log") -> DataFrame:
     return logs.select(*keys, F.posexplode(tx.lines(F.col(log))).alias("line_no", "line"))
 
 
-def _fired(hits: list[Hit], line_no: Column) -> Column:
+def fired(hits: list[Hit], line_no: Column) -> Column:
     """The rules that fired on one line, as an array of structs."""
     return F.filter(
         F.array(*[
             F.when(h.cond, F.struct(
-                F.lit(h.rank).alias("rank"), line_no.alias("line_no"), F.lit(i).alias("pos"),
+                F.lit(h.rank).alias("rank"), line_no.cast("long").alias("line_no"), F.lit(i).alias("pos"),
                 h.test.alias("test"), h.status.alias("status")))
             for i, h in enumerate(hits)
         ]),
@@ -54,14 +52,9 @@ def _fired(hits: list[Hit], line_no: Column) -> Column:
     )
 
 
-def hits_to_rows(lines: DataFrame, keys: list[str], hits: list[Hit]) -> DataFrame:
-    """(keys, rank, line_no, pos, test, status), one row per rule that fired."""
-    return lines.select(*keys, F.explode(_fired(hits, F.col("line_no"))).alias("h")).select(*keys, "h.*")
-
-
 def hits_of_log(log: Column, rule: Callable[[Column], list[Hit]]) -> Column:
     """All hits of a line rule in a log, without leaving the log's row."""
-    return F.flatten(F.transform(tx.lines(log), lambda line, i: _fired(rule(line), i)))
+    return F.flatten(F.transform(tx.lines(log), lambda line, i: fired(rule(line), i)))
 
 
 def first_non_empty(hits: Column, other: Column) -> Column:
@@ -74,34 +67,3 @@ def last_wins(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "test").agg(
         F.max_by("status", F.struct("rank", "line_no", "pos")).alias("status")
     )
-
-
-def line_window(keys: list[str]) -> Window:
-    """Lines of one log in order. A log is one text value, so the group is bounded."""
-    return Window.partitionBy(*keys).orderBy("line_no")
-
-
-def fold_logs(
-    logs: DataFrame, keys: list[str], fold: Callable[[str], Iterable[tuple[str, str]]], body: str | None = None
-) -> DataFrame:
-    """Run a small sequential ``fold`` over each log value; later pairs win.
-
-    With ``body``, that column is read first and the whole log only if it yields nothing.
-    """
-    schema = T.StructType(
-        [logs.schema[k] for k in keys] + [T.StructField("test", T.StringType()), T.StructField("status", T.StringType())]
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                *ids, log, part = row
-                found = dict(fold(part)) if part else {}
-                if not found and log and part != log:
-                    found = dict(fold(log))
-                for test, status in found.items():
-                    out.append((*ids, test, status))
-            yield pd.DataFrame(out, columns=[*keys, "test", "status"])
-
-    return logs.select(*keys, "log", F.col(body or "log").alias("_part")).mapInPandas(run, schema)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patchloom.operators.logs import stateful
-from patchloom.operators.logs.base import FAILED, first_non_empty, fold_logs, hits_of_log, last_wins
-from patchloom.operators.logs.folds import FOLDS
-from patchloom.operators.logs.line_rules import LINE_RULES, chart_js_failures
+from patchloom.operators.logs.base import first_non_empty, hits_of_log, last_wins
+from patchloom.operators.logs.in_row import WHOLE_LOG
+from patchloom.operators.logs.line_rules import LINE_RULES
 
 # The log format of each repository, grouped by language.
 REPO_PARSERS: dict[str, dict[str, str]] = {
@@ -85,49 +82,40 @@ def parser_of(repo: Column, instance_id: Column) -> Column:
     return F.coalesce(_lookup(by_repo, repo), _lookup(by_pull, F.concat(repo, F.lit("-"), number)))
 
 
-def _chart_js(logs: DataFrame, keys: list[str]) -> DataFrame:
-    return logs.select(*keys, F.explode(chart_js_failures(F.col("log"))).alias("test")).distinct().withColumn(
-        "status", F.lit(FAILED)
-    )
+PARSERS = sorted([*LINE_RULES, *WHOLE_LOG])
+UNKNOWN_FORMAT = "unknown_format"
 
 
-WHOLE_LOG = {
-    "chart_js": _chart_js,
-    "phpunit": stateful.parse_phpunit,
-    "gradle": stateful.parse_gradle,
-    "maven": stateful.parse_maven,
-    "django": stateful.parse_django,
-}
-PARSERS = sorted([*LINE_RULES, *WHOLE_LOG, *FOLDS])
+def _hits_in(name: str, log: Column) -> Column:
+    return WHOLE_LOG[name](log) if name in WHOLE_LOG else hits_of_log(log, LINE_RULES[name])
+
+
+def _hits_of(name: str, body: str | None) -> Column:
+    """Hits of one format: those of ``body``, or, where it has none, those of the whole log."""
+    if body is None:
+        return _hits_in(name, F.col("log"))
+    return first_non_empty(_hits_in(name, F.col(body)), _hits_in(name, F.col("log")))
 
 
-def _line_status(logs: DataFrame, keys: list[str], hits: Column) -> DataFrame:
+def _status_of(logs: DataFrame, keys: list[str], hits: Column) -> DataFrame:
     return last_wins(logs.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*"), keys)
 
 
-def _line_hits(name: str, body: str | None) -> Column:
-    rule, whole = LINE_RULES[name], F.col("log")
-    if body is None:
-        return hits_of_log(whole, rule)
-    return first_non_empty(hits_of_log(F.col(body), rule), hits_of_log(whole, rule))
+def _dispatched(names: list[str], body: str | None) -> Column:
+    """Hits of a log in the format that its ``parser`` column names; null for other formats."""
+    found = F.lit(None)
+    for n in names:
+        found = F.when(F.col("parser") == n, _hits_of(n, body)).otherwise(found)
+    return found
 
 
 def parse_with(logs: DataFrame, keys: list[str], parser: str, body: str | None = None) -> DataFrame:
     """(keys, test, status) of logs that all have one format.
 
     With ``body``, that column is parsed first and the whole ``log`` only where it
-    yields nothing.
+    yields nothing; the text is chosen and parsed in the log's own row.
     """
-    if parser in LINE_RULES:
-        return _line_status(logs, keys, _line_hits(parser, body))
-    if parser in FOLDS:
-        return fold_logs(logs, keys, FOLDS[parser], body)
-    parse = WHOLE_LOG[parser]
-    if body is None:
-        return parse(logs.select(*keys, "log"), keys)
-    inside = parse(logs.select(*keys, F.col(body).alias("log")), keys)
-    empty = logs.select(*keys, "log").join(inside.select(*keys).distinct(), keys, "left_anti")
-    return inside.unionByName(parse(empty, keys))
+    return _status_of(logs, keys, _hits_of(parser, body))
 
 
 def parse_test_logs(
@@ -135,38 +123,19 @@ def parse_test_logs(
 ) -> DataFrame:
     """(keys, test, status) for logs of mixed formats; ``logs`` has a ``parser`` column.
 
-    All line formats share one pass: each log is tested only against its own rules.
-    The other formats read the logs they apply to.
+    All formats share one pass over the logs: each is read by the rules of its own format.
     """
-    names = only or PARSERS
-    parts = []
-    line_names = [n for n in names if n in LINE_RULES]
-    if line_names:
-        found = None
-        for n in line_names:
-            cond = F.col("parser") == n
-            found = F.when(cond, _line_hits(n, body)) if found is None else found.when(cond, _line_hits(n, body))
-        parts.append(_line_status(logs.filter(F.col("parser").isin(*line_names)), keys, found))
-    for n in names:
-        if n not in LINE_RULES:
-            parts.append(parse_with(logs.filter(F.col("parser") == n), keys, n, body))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return _status_of(logs, keys, _dispatched(only or PARSERS, body))
 
 
 def scan_logs(logs: DataFrame, keys: list[str], body: str, parser: str | None = None) -> DataFrame:
-    """Logs with ``hits`` in place of their text: the hits of the line formats, found in one read.
+    """Logs with ``hits`` in place of their text, found in one read.
 
-    ``hits`` is null for logs that were not ``found`` and for other formats.
+    ``hits`` is null for logs that were not ``found`` and for unknown formats.
     """
-    if parser:
-        hits = _line_hits(parser, body)
-    else:
-        hits = None
-        for n in LINE_RULES:
-            cond = F.col("parser") == n
-            hits = F.when(cond, _line_hits(n, body)) if hits is None else hits.when(cond, _line_hits(n, body))
+    hits = _hits_of(parser, body) if parser else _dispatched(PARSERS, body)
     return logs.withColumn("hits", F.when(F.col("found"), hits)).drop("log", body)
 
 
 def status_of_hits(scanned: DataFrame, keys: list[str]) -> DataFrame:
-    return _line_status(scanned, keys, F.col("hits"))
+    return _status_of(scanned, keys, F.col("hits"))

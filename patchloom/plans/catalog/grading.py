@@ -76,7 +76,7 @@ def _(spark, sf_dir):
 def _runs(spark, sf_dir):
     """(runs, graded tests) of all logs, from one read of them."""
     runs, status = grade.grade_logs(load(spark, sf_dir, "v_logs"), KEYS, "pytest")
-    return runs, grade.grade_tests(runs.filter("found"), load(spark, sf_dir, "v_gold"), status, KEYS)
+    return runs, grade.grade_tests(runs.filter("gradable"), load(spark, sf_dir, "v_gold"), status, KEYS)
 
 
 def _graded(spark, sf_dir):

@@ -120,3 +120,20 @@ view(
     _log_sql(_MIXED_KINDS, 8, f", {_REPO_CASE} AS repo, replace({_REPO_CASE}, '/', '__') || '-' || {_PR_CASE} AS instance_id"),
     texts=("repo", "instance_id", "log"),
 )
+
+# The same logs as evaluation runs leave them: results between the marks, results outside of
+# them, runs that did not get so far, and repositories whose format is not known.
+view(
+    "v_mixed_runs",
+    "SELECT log_id, CASE WHEN log_id % 7 = 3 THEN 'someone/else' ELSE repo END AS repo, instance_id, CASE "
+    + f"WHEN log_id % 5 = 1 THEN log || {NL} || '>>>>> Start Test Output' || {NL} || 'noise' || {NL} || '>>>>> End Test Output' "
+    + f"WHEN log_id % 5 = 2 THEN '>>>>> Start Test Output' || {NL} || log WHEN log_id % 10 = 4 THEN '>>>>> Tests Errored' || {NL} || '>>>>> Start Test Output' || log || '>>>>> End Test Output' "
+    + f"ELSE 'PASSED t1' || {NL} || '>>>>> Start Test Output' || {NL} || log || {NL} || '>>>>> End Test Output' || {NL} || 'ok 1 does 1' END AS log FROM v_mixed_logs",
+    texts=("repo", "instance_id", "log"),
+)
+view(
+    "v_mixed_gold",
+    "SELECT CAST(log_id AS STRING) AS instance_id, CASE WHEN log_id % 2 = 0 THEN 'FAIL_TO_PASS' ELSE 'PASS_TO_PASS' END AS category, "
+    "CASE log_id % 3 WHEN 0 THEN 't' WHEN 1 THEN 'does ' ELSE 'test_a' END || CAST(log_id % 17 AS STRING) AS test FROM v_mixed_runs "
+    "UNION ALL SELECT CAST(log_id AS STRING), 'FAIL_TO_PASS', 'T' || CAST(log_id % 17 AS STRING) FROM v_mixed_runs",
+)

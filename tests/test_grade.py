@@ -33,10 +33,24 @@ def test_mixed_formats_with_fallback(spark):
     from pyspark.sql import functions as F
 
     df = logs(spark, rows).withColumn("parser", parser_of(F.col("repo"), F.col("instance_id")))
-    _, status = grade.grade_logs(df, ["instance_id"])
+    runs, status = grade.grade_logs(df, ["instance_id"])
+    assert all(r["gradable"] and r["error"] is None for r in runs.collect())
     assert {(r["test"], r["status"]) for r in status.collect()} == {("A", "PASSED"), ("a", "FAILED"), ("S > a", "PASSED")}
 
 
+def test_unknown_formats_are_errors_and_not_failures(spark):
+    from patchloom.operators.logs.dispatch import parser_of
+    from pyspark.sql import functions as F
+
+    rows = [("a__a-1", "some/one", f"{START}\nPASSED a\n{END}"), ("jekyll__jekyll-1", "jekyll/jekyll", f"{START}\nPASSED a\n{END}"), ("b__b-1", "some/one", "PASSED a")]
+    df = logs(spark, rows).withColumn("parser", parser_of(F.col("repo"), F.col("instance_id")))
+    runs, status = grade.grade_logs(df, ["instance_id"])
+    assert {(r["instance_id"], r["found"], r["gradable"], r["error"]) for r in runs.collect()} == {
+        ("a__a-1", True, False, "unknown_format"), ("jekyll__jekyll-1", True, False, "unknown_format"), ("b__b-1", False, False, None)}
+    gold = spark.createDataFrame([("a__a-1", F2P, "a")], "instance_id string, category string, test string")
+    assert status.count() == 0 and grade.grade_tests(runs.filter("gradable"), gold, status, ["instance_id"]).count() == 0
+
+
 def rates(spark, repo, gold, status):
     runs = spark.createDataFrame([("i", repo)], "instance_id string, repo string")
     g = spark.createDataFrame([("i", c, t) for c, t in gold], "instance_id string, category string, test string")

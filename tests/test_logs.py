@@ -1,7 +1,4 @@
-"""Log formats: fixed cases, and random logs against plain folds."""
-
-import random
-import re
+"""Log formats: fixed cases, rules of state, long logs, dispatch."""
 
 import pytest
 
@@ -46,7 +43,10 @@ CASES = [
     ("p5js", "log\n{\n  \"a\": 1\n}\n  1) outer\n       inner:\n  2) flat\nsame:\n<x>q</x>", {"outer:inner": "FAILED"}),
     ("doctest", "noise <doctest><TestCase name='c'><SubCase name='s'><Expression success='true'/><SubCase name='n'><Expression success='false'/></SubCase></SubCase></TestCase></doctest> end",
      {"c > s": "FAILED", "c > n": "FAILED"}),
-    ("doctest", "<doctest><broken", {}),
+    ("doctest", "<doctest><broken", {"(broken report)": "ERROR"}),
+    ("doctest", "<doctest><TestCase name='a'></SubCase></TestCase></doctest>", {"(broken report)": "ERROR"}),
+    ("doctest", "no report", {}),
+    ("p5js", "  1) " + "x" * 3000 + ":", {"x" * 3000: "FAILED"}),
 ]
 
 
@@ -55,56 +55,69 @@ def test_case(spark, parser, log, expected):
     assert parse(spark, parser, log) == expected
 
 
-def fold_maven(log):
-    waiting, spare, out = [], [], {}
-    for line in log.split("\n"):
-        if m := re.match(r"^.*-Dtest=(\S+).*$", line.strip()):
-            waiting.append(m[1])
-        if m := re.match(r"^.*BUILD (SUCCESS|FAILURE)$", line.strip()):
-            status = {"SUCCESS": "PASSED", "FAILURE": "FAILED"}[m[1]]
-            if waiting:
-                out[waiting.pop(0)] = status
-            else:
-                spare.append(status)
-    out.update(zip(waiting, spare))
-    return out
-
-
-def fold_gradle(log):
-    name, out = None, {}
-    for line in map(str.strip, log.split("\n")):
-        if m := re.match(r"^([^>].+)\s+(PASSED|FAILED)$", line):
-            out[m[1]], name = m[2], None
-        elif re.match(r"^([^>]\S*\s+>\s+\S+)$", line):
-            name = line
-        elif name and line in ("PASSED", "FAILED"):
-            out[name], name = line, None
-    return out
-
-
-def fold_phpunit(log):
-    suite, out = None, {}
-    for line in log.split("\n"):
-        if m := re.match(r"^(\w.+) \(.+\)$", line):
-            suite = m[1]
-        elif m := re.match(r"^\s*([✔✘↩])\s*(.*)$", line):
-            out[f"{suite} > {m[2]}"] = {"✔": "PASSED", "✘": "FAILED", "↩": "SKIPPED"}[m[1]]
-    return out
-
-
-PIECES = {
-    "maven": (fold_maven, ["-Dtest=A", "-Dtest=B x", "-Dtest=C BUILD FAILURE", "BUILD SUCCESS", "BUILD FAILURE", "noise"]),
-    "gradle": (fold_gradle, ["a.B > c", "a.B > d", "PASSED", "FAILED", "a.B > c PASSED", "a.B > d FAILED", "> x PASSED", "noise"]),
-    "phpunit": (fold_phpunit, ["Suite A (x)", "É b (y)", " ✔ one", "✘ one", "  ↩ two", "noise"]),
+# One state rule per case: what pairs with what, what resets, what is left over.
+STATE_CASES = [
+    ("maven", "-Dtest=A\nnoise\n-Dtest=B\nBUILD SUCCESS", {"A": "PASSED"}),
+    ("maven", "BUILD FAILURE\nBUILD SUCCESS\n-Dtest=A\n-Dtest=B\n-Dtest=C\nBUILD SUCCESS", {"A": "PASSED", "B": "FAILED", "C": "PASSED"}),
+    ("maven", "x -Dtest=A BUILD FAILURE\n-Dtest=A\nBUILD SUCCESS", {"A": "PASSED"}),
+    ("maven", "-Dtest=A\nBUILD SUCCESS\nBUILD FAILURE", {"A": "PASSED"}),
+    ("maven", "BUILD SUCCESS", {}),
+    ("gradle", "a.B > c\na.B > d\nPASSED", {"a.B > d": "PASSED"}),
+    ("gradle", "a.B > c\na.B > d FAILED\nPASSED", {"a.B > d": "FAILED"}),
+    ("gradle", "a.B > c\n> x PASSED\nFAILED\nPASSED", {"a.B > c": "FAILED"}),
+    ("gradle", "  a.B > c PASSED  \na.B > c FAILED", {"a.B > c": "FAILED"}),
+    ("phpunit", "Aa (x)\n ✔ one\nÉ b (y)\n  ↩ one\nnoise\n✘ one", {"Aa > one": "PASSED", "É b > one": "FAILED"}),
+    ("phpunit", "Aa (x)\n ✘ one\nBb (x)\nAa (y)\n ✔ one", {"Aa > one": "PASSED"}),
+    ("django", "ok\nt (m) ... x\nok\nok 2\nu (m) ... skipped 'no'", {"t (m)": "PASSED", "u (m)": "SKIPPED"}),
+    ("django", "a ... FAIL\nb ... ERROR\nFAIL: c (x)\n--version is equivalent to version", {"a": "FAILED", "b": "ERROR", "c": "FAILED", "--version is equivalent to version": "PASSED"}),
+    ("karma", "Starting browser\n  A\n    B\n      ✔ x\n    C\n      ✔ y\n  D\n    ✖ z", {"A > B > x": "PASSED", "A > B > y": "PASSED", "A > z": "FAILED"}),
+    ("karma", "SUMMARY:\nStarting browser\n ✔ x", {}),
+    ("karma", " ✔ x", {}),
+    ("karma", "Starting browser\n\n✔ top\nSUMMARY:", {"top": "PASSED"}),
+    ("karma", "Starting browser\n ✔ top\nStarting browser\n ✖ low", {"top": "PASSED", "low": "FAILED"}),
+    ("calypso", "  S\n    ✓ no", {}),
+    ("calypso", "a ./node_modules/.bin/jest b\n  S\n    ✓ x (3ms)\n  T\n    ✕ y (3ms) z\n    ✓ é\n  ● stop\n  U\nc ./node_modules/.bin/jest d\n    ✕ k", {"S - x": "PASSED", "T - é": "PASSED", "T - k": "FAILED"}),
+    ("calypso", " ./node_modules/.bin/jest \n ✓ alone", {"- alone": "PASSED"}),
+    ("p5js", "  1) a\n    b\n  c:", {}),
+    ("p5js", " 1) a:\nx [\n 2) in a list:\n]\n{ 3) one line: }\n 4) d:\n}\n 5) e:", {"a": "FAILED", "d": "FAILED", "e": "FAILED"}),
+    ("p5js", "<a><a>1) x:</a> 2) y:</a>\n 3) z:\n<b> 4) open:\n 1 < 2", {"z": "FAILED"}),
+    ("doctest", '<doctest><TestCase name="a &lt;b&gt;"><SubCase name="s"/><SubCase><Expression success="false"></Expression></SubCase></TestCase></doctest>', {"a <b> > s": "PASSED", "a <b> > None": "FAILED"}),
+]
+
+
+@pytest.mark.parametrize("parser", sorted({c[0] for c in STATE_CASES}))
+def test_state_rules(spark, parser):
+    cases = [c for c in STATE_CASES if c[0] == parser] + [(parser, "", {})]
+    assert parse(spark, parser, *(c[1] for c in cases)) == [c[2] for c in cases]
+
+
+LONG_LOGS = {
+    "maven": (["[INFO] noise " * 4] * 40 + ["-Dtest=T{i}", "BUILD FAILURE"], "T{i}", "FAILED"),
+    "gradle": (["noise " * 9] * 9 + ["a.B > t{i}", "PASSED"], "a.B > t{i}", "PASSED"),
+    "phpunit": (["noise " * 9] * 9 + ["Suite {i} (x)", " ✔ one"], "Suite {i} > one", "PASSED"),
+    "django": (["noise " * 9] * 9 + ["t{i} (m) ... said", "ok"], "t{i} (m)", "PASSED"),
+    "karma": (["noise " * 9] * 9 + [" ✖ t{i}"], "t{i}", "FAILED"),
+    "calypso": (["noise " * 9] * 9 + ["    ✓ t{i} (3ms)"], "S - t{i}", "PASSED"),
+    "p5js": (["noise " * 9] * 9 + ["<a>x</a>", "  {i}) t{i}:"], "t{i}", "FAILED"),
+    "pytest": (["noise " * 9] * 9 + ["PASSED t{i}"], "t{i}", "PASSED"),
 }
 
 
-@pytest.mark.parametrize("parser", sorted(PIECES))
-def test_window_form_equals_fold(spark, parser):
-    fold, pieces = PIECES[parser]
-    rng = random.Random(7)
-    logs = ["\n".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(800)]
-    assert parse(spark, parser, *logs) == [fold(x) for x in logs]
+@pytest.mark.parametrize("parser", sorted(LONG_LOGS))
+def test_megabytes_of_log(spark, parser):
+    kinds, name, status = LONG_LOGS[parser]
+    n = 1500
+    head = {"karma": "Starting browser\n", "calypso": "x ./node_modules/.bin/jest y\n  S\n"}.get(parser, "")
+    log = head + "\n".join(k.format(i=i) if "{i}" in k else k for i in range(n) for k in kinds)
+    assert len(log) > 700_000
+    assert parse(spark, parser, log) == {name.format(i=i): status for i in range(n)}
+
+
+def test_mixed_formats_are_one_scan_without_python(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    spark.createDataFrame([(1, "pallets/flask", "a-1", "x", "pytest")], "id int, repo string, instance_id string, log string, parser string").write.parquet(path)
+    plan = parse_test_logs(spark.read.parquet(path).withColumn("body", F.col("log")), ["id"], body="body")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("FileScan") == 1 and "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_dispatch(spark):

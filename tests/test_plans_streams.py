@@ -48,9 +48,17 @@ def test_failure_watch_carries_over_batches(spark, tmp_path):
         rows.filter((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     jobs.run_available(stream, f"{tmp_path}/ckpt", each=jobs.watch_failures(f"{tmp_path}/out", ["seq"]))
-    longest = spark.read.parquet(f"{tmp_path}/out/runs").agg(F.max("length")).first()[0]
-    batch = ingest.failure_runs(rows, ["seq"]).agg(F.max("length")).first()[0]
-    assert longest == batch == 6
+    found = sorted(map(tuple, jobs.failures_so_far(spark, f"{tmp_path}/out").select("run", "first", "length", "aborts").collect()))
+    whole = sorted(map(tuple, ingest.failure_runs(rows, ["seq"]).select("run", "first", "length", "aborts").collect()))
+    assert found == whole and max(r[2] for r in found) == 6
+
+
+def test_ingest_with_bounded_state(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "instance_id string, s long").withColumn("t", F.timestamp_seconds("s")).drop("s")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    jobs.run_available(jobs.first_predictions(stream, "t", "1 hour"), f"{tmp_path}/ckpt", f"{tmp_path}/out")
+    assert sorted(r["instance_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
 
 
 def test_ingest_resumes_from_its_checkpoint(spark, tmp_path):
@@ -59,7 +67,7 @@ def test_ingest_resumes_from_its_checkpoint(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema("instance_id string, model_patch string").json(f"{tmp_path}/in")
-        jobs.run_available(jobs.first_predictions(stream), f"{tmp_path}/ckpt", f"{tmp_path}/out")
+        jobs.run_available(stream, f"{tmp_path}/ckpt", each=jobs.keep_first(f"{tmp_path}/out"))
         return sorted(r["instance_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
 
     write([("a", "1"), ("b", "1"), ("a", "2")])
