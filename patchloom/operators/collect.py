@@ -107,19 +107,19 @@ def problem_statements(pulls: DataFrame, issues: DataFrame) -> DataFrame:
 def hint_comments(pulls: DataFrame, issues: DataFrame, comments: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo, number, pos, issue, seq, body): comments up to the first one not older than the first commit.
 
-    The first late comment is found by one aggregate per (pull, issue), so no window
-    runs over a long issue.
+    A comment counts while the latest time among it and those before it is older than the
+    commit. That time is one window over an issue's comments, whatever pulls link it, so the
+    comments of a popular issue are joined to its pulls once.
     """
     first_commit = commits.groupBy(*PULL).agg(F.min_by("author_date", "seq").alias("_t"))
     links = (
         linked_issues(pulls).join(issues.select("repo", F.col("number").alias("issue")), ["repo", "issue"])
         .join(first_commit, PULL)
     )
-    pairs = links.join(comments.select("repo", "issue", "seq", "body", "updated_at"), ["repo", "issue"])
-    late = pairs.filter(F.col("updated_at") >= F.col("_t")).groupBy(*PULL, "pos").agg(F.min("seq").alias("_stop"))
-    return pairs.join(late, [*PULL, "pos"], "left").filter(
-        F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))
-    ).select(*PULL, "pos", "issue", "seq", "body")
+    so_far = Window.partitionBy("repo", "issue").orderBy("seq")
+    timed = comments.select("repo", "issue", "seq", "body", F.max("updated_at").over(so_far).alias("_latest"))
+    return links.join(timed, ["repo", "issue"]).filter(F.coalesce(F.col("_latest") < F.col("_t"), F.lit(True))).select(
+        *PULL, "pos", "issue", "seq", "body")
 
 
 def hints_text(pulls: DataFrame, issues: DataFrame, comments: DataFrame, commits: DataFrame) -> DataFrame:

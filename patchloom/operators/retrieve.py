@@ -206,9 +206,10 @@ def import_edges(files: DataFrame) -> DataFrame:
     full = F.concat(root, F.lit("/"), "path")
     placed = python.select("repo", "commit", "path", F.regexp_replace(full, "/[^/]*$", "").alias("dir"))
     dirs = placed.select("repo", "commit", "dir").distinct()
-    suffixes = dirs.select(
-        "repo", "commit", "dir", F.explode(F.sequence(F.lit(0), F.length("dir"))).alias("n")
-    ).select("repo", "commit", "dir", F.expr("right(dir, n)").alias("suffix"))
+    # only suffixes of a length that some import of the snapshot asks for
+    lengths = wanted.select("repo", "commit", F.length("suffix").alias("n")).distinct()
+    suffixes = dirs.join(lengths, ["repo", "commit"]).filter(F.col("n") <= F.length("dir")).select(
+        "repo", "commit", "dir", F.expr("right(dir, n)").alias("suffix"))
     target = wanted.join(suffixes, ["repo", "commit", "suffix"]).groupBy("repo", "commit", "src", "suffix").agg(
         F.min("dir").alias("dir"))
     return target.join(placed, ["repo", "commit", "dir"]).select("repo", "commit", "src", F.col("path").alias("dst")).distinct()

@@ -103,3 +103,12 @@ def _(spark, sf_dir):
     rows = _in_batches(spark, events, f"{root}/in", "event_id", 4)
     jobs.run_available(rows, f"{root}/checkpoint", each=jobs.watch_failures(f"{root}/out", ["event_id"]))
     return jobs.failures_so_far(spark, f"{root}/out")
+
+
+@query("predictions_from_files", """SELECT instance_id, arg_max(model_name_or_path, seq) AS model_name_or_path,
+  nullif(arg_max(coalesce(model_patch, chr(0)), seq), chr(0)) AS model_patch FROM v_predictions GROUP BY 1""")
+def _(spark, sf_dir):
+    path = _folder(spark, f"{writers.output_name('org/model', 'org/data', 'test')}.jsonl")
+    rows = load(spark, sf_dir, "v_predictions").sort("seq")  # files follow each other by name, and lines inside them
+    writers.write_jsonl(rows.select("instance_id", "model_name_or_path", "model_patch"), path)
+    return grade.latest_predictions(readers.read_predictions(spark, path)).select("instance_id", "model_name_or_path", "model_patch")
