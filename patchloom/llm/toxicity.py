@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.session import pin
 
+SHARE = 0.1  # of the weights of all but the strongest word
 TRAINING_ROWS = 20_000  # labelled documents that weights are learned from, picked by a hash
 MAX_FEATURES = 5_000  # words with a weight, the surest first
-LEAST_ODDS = 1.0  # log odds ratio that a weighted word must surpass by three standard errors
-REMEMBERED = 300_000  # spellings a task remembers
+CERTAINTY = 2.0  # standard errors by which a word must make toxic documents likelier than others
+REMEMBERED = 100_000  # spellings a task remembers
 FOLDS, HELD_OUT = 5, 0
 
 # Letters of the character model by index; index 0 is the border of a word, the last any other letter.
@@ -215,9 +216,13 @@ class Scorer:
         words, weights = _spelling_words(self.model), self.weights
         return _Spellings(lambda written: frozenset(w for w in words(written) if w in weights))
 
+    def total(self, text: str | None, spellings: _Spellings) -> float:
+        """Log odds: the strongest word decides, the others add a share of their weights."""
+        found = sorted((self.weights[w] for w in _contents(text, spellings)), reverse=True)
+        return self.intercept + self.slope * (sum(found[:1]) + SHARE * sum(found[1:]))
+
     def score(self, text: str | None, spellings: _Spellings) -> float:
-        total = self.intercept + self.slope * sum(self.weights[w] for w in sorted(_contents(text, spellings)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.total(text, spellings)))))
 
 
 def in_fold(key: Column) -> Column:
@@ -258,7 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 other.clear()
         yield table()
 
-    labelled = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(sample), key).select("_text", "_label")
+    # a text that many documents share counts once
+    labelled = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(sample), key).groupBy("_text").agg(F.max("_label").alias("_label"))
     counts = labelled.mapInArrow(count, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counts = pin(counts)
     totals = counts.filter("word = ''").first()
@@ -270,30 +276,37 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sure = counts.filter("word <> ''").select(
         "word", (toxic / (t + 1)).alias("p"), (other / (o + 1)).alias("q"), F.log(toxic * without_other / (other * without)).alias("odds"),
         F.sqrt(1 / toxic + 1 / other + 1 / without + 1 / without_other).alias("spread"),
-    ).withColumn("least", F.abs("odds") - 3 * F.col("spread")).filter(F.col("least") > LEAST_ODDS)
+    ).withColumn("least", F.col("odds") - CERTAINTY * F.col("spread")).filter(F.col("least") > math.log(o / t))
     best = sure.orderBy(F.desc("least"), "word").limit(MAX_FEATURES).collect()
     raw = Scorer(model, {r["word"]: r["odds"] for r in best}, 0.0, 1.0)
-    logits = add_scores(labelled, raw, "_text", "_score").select(F.round(F.log(F.col("_score") / (1 - F.col("_score"))), 3).alias("x"), F.col("_label") > 0)
-    slope, intercept = _logistic(*np.array(logits.collect(), dtype=np.float64).T)  # one row for each of the sample
+    sums = add_scores(labelled, raw, "_text", "_sum", Scorer.total).select(F.round("_sum", 3), F.col("_label") > 0)
+    slope, intercept = _logistic(*np.array(sums.collect(), dtype=np.float64).T)  # one row for each of the sample
     return Scorer(model, raw.weights, intercept, slope)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """(slope, intercept) that make the sums into chances; the words of a class rule each other out,
-    so their weights can't simply be added up."""
-    x = np.stack([np.clip(x, -30, 30), np.ones_like(x)], axis=1)
+    so their weights can't simply be added up. Newton steps, halved while they don't help."""
+    x = np.stack([x, np.ones_like(x)], axis=1)
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge * beta @ beta / 2)
+
     beta = np.array([0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ beta)))
-        hessian = (x.T * (p * (1 - p) + 1e-9)) @ x + ridge * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * beta)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(2), x.T @ (y - p) - ridge * beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-9:
             break
     return max(0.0, float(beta[0])), float(beta[1])
 
 
-def add_scores(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score") -> DataFrame:
+def add_scores(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score", measure: Callable[[Scorer, str | None, _Spellings], float] = Scorer.score) -> DataFrame:
     """Add the score of the whole text, 0 to 1. Null and empty texts get that of a text without weighted words.
 
     Map-only; other columns and repeated rows are kept as they are. ``out`` must be a new name.
@@ -306,7 +319,7 @@ def add_scores(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spellings = shared.value.spellings()
         for batch in batches:
-            made = [shared.value.score(v.as_py(), spellings) for v in batch.column(at)]
+            made = [measure(shared.value, v.as_py(), spellings) for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)

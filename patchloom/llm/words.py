@@ -77,7 +77,7 @@ class Words:
         return mix((sums[length:] - sums[: n + 1 - length]) * inverse[: n + 1 - length])
 
 
-def batches(values: Iterable[bytes | None], limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def batches(values: Iterable[bytes | None], limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts) in batches of about ``limit`` bytes; a longer text is alone."""
     first, size, batch = 0, 0, []
     for i, v in enumerate(values):
