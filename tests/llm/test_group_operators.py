@@ -279,3 +279,21 @@ def test_held_out_labels_are_not_used(spark, labelled):
     turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
     one, other = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")) for x in (labels, turned))
     assert one.weights == other.weights and one.intercept == other.intercept
+
+
+def test_calibration_of_separable_and_constant_sums():
+    x = np.concatenate([np.zeros(900), np.full(10, 4.0), np.full(90, 9.0)])
+    y = np.concatenate([np.zeros(910), np.ones(90)])
+    slope, intercept = toxicity._logistic(x, y)
+    chance = lambda v: 1 / (1 + math.exp(-(slope * v + intercept)))
+    assert chance(0) < 0.05 and chance(4) < 0.5 < 0.9 < chance(9)
+    slope, intercept = toxicity._logistic(np.zeros(100), np.arange(100) < 20)
+    assert slope == 0 and abs(1 / (1 + math.exp(-intercept)) - 0.2) < 0.01
+    slope, _ = toxicity._logistic(np.concatenate([np.zeros(50), np.full(50, 900.0)]), np.concatenate([np.zeros(50), np.ones(50)]))
+    assert slope > 0
+
+
+def test_strongest_word_decides():
+    scorer = toxicity.Scorer(np.zeros((64, 64, 64)), {"bad": 8.0, "poor": 2.0}, -4.0, 1.0)
+    totals = [scorer.total(t, scorer.spellings()) for t in ("", "poor", "bad", "bad poor bad")]
+    assert totals[:3] == [-4.0, -2.0, 4.0] and abs(totals[3] - (4.0 + 2.0 * toxicity.SHARE)) < 1e-9
