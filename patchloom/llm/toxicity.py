@@ -26,7 +26,7 @@ SHARE = 0.1  # of the weights of all but the strongest word
 TRAINING_ROWS = 20_000  # labelled documents that weights are learned from, picked by a hash
 MAX_FEATURES = 5_000  # words with a weight, the surest first
 CERTAINTY = 2.0  # standard errors by which a word must make toxic documents likelier than others
-REMEMBERED = 100_000  # spellings a task remembers
+REMEMBERED = 40_000  # spellings a task remembers
 FOLDS, HELD_OUT = 5, 0
 
 # Letters of the character model by index; index 0 is the border of a word, the last any other letter.
@@ -78,7 +78,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                 if v:
                     held.append(v)
                     size += len(v)
-                if size > 1 << 20 or i == len(values) - 1:
+                if size > 1 << 18 or i == len(values) - 1:
                     c = _codes("  " + "  ".join(held) + "  ")
                     total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE ** 3)
                     held, size = [], 0
@@ -257,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 own = toxic if is_toxic.as_py() else other
                 own.update(_contents(value.as_py(), spellings))
                 own[""] += 1  # counts documents
-            if len(toxic) + len(other) > 500_000:
+            if len(toxic) + len(other) > 150_000:
                 yield table()
                 toxic.clear()
                 other.clear()
