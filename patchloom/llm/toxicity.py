@@ -56,7 +56,7 @@ _DISGUISED = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_LETTER}{_SEP}+{_L
 # Runs of three or more single characters with spaces between them.
 _SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?: {{1,3}}(?:{_LETTER}|{_SIGN})){{2,}}(?!\S)")
 _WORDS = re.compile(rf"{_LETTER}+")
-_LONGEST = 64  # characters of a disguised word that is decoded in one piece
+_LONGEST = 64  # characters of a spelling that a task remembers; longer ones are read again each time
 
 
 def _codes(text: str) -> np.ndarray:
@@ -102,12 +102,12 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
-def lattice(written: str) -> list[list[tuple[str, float]]]:
+def lattice(written: str) -> Iterator[list[tuple[str, float]]]:
     """For each written character the letters it may stand for, each with a log chance; "" drops it.
 
     A space that is kept is a border. A letter that repeats the one before it may be dropped.
     """
-    steps, before = [], ""
+    before = ""
     for ch in written:
         options: list[tuple[str, float]] = []
         if ch.isalpha():
@@ -125,14 +125,17 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
             options += [("", _LOG_DROP), (" ", _LOG_BORDER)]
         else:
             options.append((" ", _LOG_AS_IS))
-        steps.append(options)
+        yield options
         before = ch
-    return steps
 
 
 def decode(written: str, model: np.ndarray) -> str:
-    """The likeliest reading of ``written`` (lower case); states are the last two letters read."""
+    """The likeliest reading of the whole of ``written`` (lower case); states are the last two letters read.
+
+    Time grows with its length. What all paths share is settled where they meet in one state.
+    """
     beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    settled: list[str] = []
     for options in lattice(written):
         reached: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in beam.items():
@@ -148,24 +151,27 @@ def decode(written: str, model: np.ndarray) -> str:
                 if state not in reached or new > reached[state][0]:
                     reached[state] = (new, way)
         beam = reached
+        if len(beam) == 1:
+            (state, (score, path)), = beam.items()
+            settled += _letters(path)
+            beam = {state: (score, ())}
     _, path = max(((score + (model[a, b, 0] if b else 0.0), path) for (a, b), (score, path) in beam.items()), key=lambda x: x[0])
+    return "".join(settled + _letters(path))
+
+
+def _letters(path: tuple) -> list[str]:
     letters = []
     while path:
         path, letter = path
         letters.append(letter)
-    return "".join(reversed(letters))
+    return letters[::-1]
 
 
 def restored_words(written: str, model: np.ndarray) -> frozenset[str]:
-    """Words of one spelling as it is written and, where it looks disguised, as it was meant.
-
-    A very long one is decoded in pieces.
-    """
+    """Words of one spelling as it is written and, where it looks disguised, as it was meant."""
     words = set(_WORDS.findall(written))
-    if not _DISGUISED.search(written):
-        return frozenset(words)
-    for at in range(0, len(written), _LONGEST):
-        words.update(_WORDS.findall(decode(written[at:at + _LONGEST], model)))
+    if _DISGUISED.search(written):
+        words.update(_WORDS.findall(decode(written, model)))
     return frozenset(words)
 
 
@@ -176,9 +182,11 @@ class _Spellings(dict):
         self.meaning = meaning
 
     def __missing__(self, written: str) -> frozenset:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        made = self[written] = self.meaning(written)
+        made = self.meaning(written)
+        if len(written) <= _LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[written] = made
         return made
 
 
@@ -190,8 +198,7 @@ def _contents(text: str | None, spellings: _Spellings) -> set:
     found: set = set()
     found.update(*map(spellings.__getitem__, set(low.split())))
     for run in _SPACED.findall(low):
-        for at in range(0, len(run), _LONGEST):
-            found |= spellings[" " + run[at:at + _LONGEST]]
+        found |= spellings[" " + run]
     return found
 
 

@@ -253,6 +253,21 @@ def test_disguised_words_are_restored(spark, labelled):
         assert 0 <= score(text) < 0.5, text
 
 
+@pytest.mark.parametrize("between", [" ", "."])
+def test_insults_at_every_offset_of_a_long_run(spark, labelled, between):
+    rows, labels = labelled
+    scorer = toxicity.train(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    spellings = scorer.spellings()
+    before = {0: ""}  # words that come to each length; the insult's neighbours are always the same
+    for n in range(2, 120):
+        before[n] = next(w + before[n - len(w)] for w in ("that", "the", "of") if n - len(w) in before)
+    after = "waterunderthatabouttheirwouldneverfromtherewhichwithhave"
+    assert scorer.score(between.join(before[119] + after), spellings) < 0.5
+    missed = [(bad, n) for bad in ("stupid", "idiot", "loser") for n in before
+              if scorer.score(between.join(before[n] + "water" + bad + after), spellings) < 0.5]
+    assert not missed
+
+
 def test_scores_of_documents(spark, labelled):
     rows, labels = labelled
     extra = [(5000, None, None, None, None, None, None), (5001, "", "s", 1, "", 1, ""), (None, "stupid idiot", "", 0, "", 0, ""), (7, rows[7][1], "s", 1, "x", 7, None)]
