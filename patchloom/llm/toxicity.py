@@ -5,7 +5,8 @@ A lattice holds, for each written character, the letters it may stand for, or no
 separators and repetitions; Viterbi decoding picks the path that a character trigram model finds
 likeliest. The model's counts come from all texts. The restored words are scored by weights
 learned from labelled documents: Bernoulli naive Bayes over words that tell the classes apart
-beyond chance.
+beyond chance. Neighbouring fragments ("st upid") are read as one where the lattice of the two
+or more together can spell a word with a weight, and Viterbi says that it does.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +53,11 @@ _LOG_DIGIT, _LOG_BORDER = math.log(1e-5), math.log(0.02)  # a sign that is no le
 _LETTER = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(STANDS_FOR)) + "]"
 _SEP = "[" + re.escape(SEPARATORS.strip()) + "]"
-# Words worth decoding: a letter next to a sign that may be one, letters with signs between them, threefold letters.
-_DISGUISED = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_LETTER}{_SEP}+{_LETTER}|({_LETTER})\1\1", re.IGNORECASE)
-# Runs of three or more single characters with spaces between them.
-_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?: {{1,3}}(?:{_LETTER}|{_SIGN})){{2,}}(?!\S)")
+# Words worth decoding: a letter next to a sign that may be one, letters with signs between them, a letter twice in a row.
+_DISGUISED = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_LETTER}{_SEP}+{_LETTER}|({_LETTER})\1", re.IGNORECASE)
+# Runs of single characters with any white space between them.
+_SINGLE = re.compile(rf"{_LETTER}|{_SIGN}")
+_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|{_SIGN})(?:\s+(?:{_LETTER}|{_SIGN}))+(?!\S)")
 _WORDS = re.compile(rf"{_LETTER}+")
 _LONGEST = 64  # characters of a spelling that a task remembers; longer ones are read again each time
 
@@ -102,33 +105,38 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three)
 
 
-def lattice(written: str) -> Iterator[list[tuple[str, float]]]:
+def lattice(written: str) -> Iterator[tuple[tuple[str, float], ...]]:
     """For each written character the letters it may stand for, each with a log chance; "" drops it.
 
     A space that is kept is a border. A letter that repeats the one before it may be dropped.
     """
     before = ""
     for ch in written:
-        options: list[tuple[str, float]] = []
-        if ch.isalpha():
-            options.append((ch, _LOG_AS_IS))
-            if ch == before:
-                options.append(("", _LOG_REPEAT))
-        elif ch in STANDS_FOR:
-            options += [(c, _LOG_STANDS) for c in STANDS_FOR[ch]]
-            options.append((" ", _LOG_DIGIT))
-            if ch == before:
-                options.append(("", _LOG_REPEAT))
-            if ch in "+!|(<":
-                options.append(("", _LOG_DROP))
-        elif ch in SEPARATORS:
-            options += [("", _LOG_DROP), (" ", _LOG_BORDER)]
-        else:
-            options.append((" ", _LOG_AS_IS))
-        yield options
+        yield _options(ch, ch == before)
         before = ch
 
 
+@lru_cache(4096)
+def _options(ch: str, again: bool) -> tuple[tuple[str, float], ...]:
+    options: list[tuple[str, float]] = []
+    if ch.isalpha():
+        options.append((ch, _LOG_AS_IS))
+        if again:
+            options.append(("", _LOG_REPEAT))
+    elif ch in STANDS_FOR:
+        options += [(c, _LOG_STANDS) for c in STANDS_FOR[ch]]
+        options.append((" ", _LOG_DIGIT))
+        if again:
+            options.append(("", _LOG_REPEAT))
+        if ch in "+!|(<":
+            options.append(("", _LOG_DROP))
+    elif ch in SEPARATORS:
+        options += [("", _LOG_DROP), (" ", _LOG_BORDER)]
+    else:
+        options.append((" ", _LOG_AS_IS))
+    return tuple(options)
+
+
 def decode(written: str, model: np.ndarray) -> str:
     """The likeliest reading of the whole of ``written`` (lower case); states are the last two letters read.
 
@@ -167,10 +175,10 @@ def _letters(path: tuple) -> list[str]:
     return letters[::-1]
 
 
-def restored_words(written: str, model: np.ndarray) -> frozenset[str]:
-    """Words of one spelling as it is written and, where it looks disguised, as it was meant."""
+def restored_words(written: str, model: np.ndarray, worth: Callable[[str], bool] = bool) -> frozenset[str]:
+    """Words of one spelling as it is written and, where it looks disguised and is worth it, as it was meant."""
     words = set(_WORDS.findall(written))
-    if _DISGUISED.search(written):
+    if _DISGUISED.search(written) and worth(written):
         words.update(_WORDS.findall(decode(written, model)))
     return frozenset(words)
 
@@ -178,6 +186,8 @@ def restored_words(written: str, model: np.ndarray) -> frozenset[str]:
 class _Spellings(dict):
     """What each spelling means, found when it is first met."""
 
+    fragments: _Fragments | None = None
+
     def __init__(self, meaning: Callable[[str], frozenset]):
         self.meaning = meaning
 
@@ -196,20 +206,114 @@ def _contents(text: str | None, spellings: _Spellings) -> set:
         return set()
     low = text.lower()
     found: set = set()
-    found.update(*map(spellings.__getitem__, set(low.split())))
+    fragments = low.split()
+    known = set(fragments)
+    if spellings.fragments:
+        known = spellings.fragments.hopeful(known)
+    found.update(*map(spellings.__getitem__, known))
     for run in _SPACED.findall(low):
-        found |= spellings[" " + run]
+        found |= spellings[" " + " ".join(run.split())]
+    if spellings.fragments:
+        spellings.fragments.add_to(found, fragments, known)
     return found
 
 
-def _spelling_words(model: np.ndarray) -> Callable[[str], frozenset]:
+def _spelling_words(model: np.ndarray, worth: Callable[[str], bool] = bool) -> Callable[[str], frozenset]:
     def words(written: str) -> frozenset:
-        if written.startswith(" "):  # a run of single characters
-            return frozenset(_WORDS.findall(decode(written[1:], model)))
-        return restored_words(written, model)
+        if written.startswith(" "):  # a run of single characters, or fragments that may be one word
+            return frozenset(_WORDS.findall(decode(written[1:], model))) if worth(written) else frozenset()
+        return restored_words(written, model, worth)
     return words
 
 
+_NOTHING = frozenset(), frozenset()
+
+
+class _Fragments:
+    """Words with a weight that neighbouring fragments of a text make up; bounded by the words and what is remembered.
+
+    Beginnings of words are followed through the lattice of each fragment, so whatever Viterbi can
+    read as a word across a space is met; what is met is decoded with its fragments together.
+    """
+
+    def __init__(self, words: Iterable[str], model: np.ndarray):
+        self.words = frozenset(words)
+        self.beginnings = frozenset(w[:n] for w in self.words for n in range(1, len(w) + 1))
+        self.fresh = _Spellings(lambda written: self._follow("", written)[1])
+        self.steps: dict[tuple[str, str], tuple[frozenset, frozenset]] = {}
+        known = _spelling_words(model, self.can_spell)
+        self.spellings = _Spellings(lambda written: known(written) & self.words)
+        self.spellings.fragments = self
+
+    def can_spell(self, written: str) -> bool:
+        """Whether any path through the lattice has a word with a weight; where none has, decoding can't find one."""
+        return bool(self._follow("", written)[0])
+
+    def _follow(self, begun: str, written: str) -> tuple[frozenset, frozenset]:
+        """From ``begun``, which lies before ``written``: words that end in it, and beginnings that reach its end.
+
+        Nothing begun: words may begin here and after each border inside.
+        """
+        ended, at, beginnings = set(), {begun}, self.beginnings
+        plain = bool(begun) or written.isalpha()  # no word begins later
+        for options in lattice(written):
+            reached = set()
+            for letter, _ in options:
+                if not letter:
+                    reached |= at
+                elif letter == " ":
+                    ended |= at & self.words
+                    if not begun:
+                        reached.add("")
+                else:
+                    for b in at:
+                        if b + letter in beginnings:
+                            reached.add(b + letter)
+            at = reached
+            if plain and not at:
+                break
+        return frozenset(ended | (at & self.words)), frozenset(at - {""})
+
+    def _step(self, begun: str, written: str) -> tuple[frozenset, frozenset]:
+        made = self.steps.get((begun, written))
+        if made is None:
+            made = self._follow(begun, written)
+            made = made if any(made) else _NOTHING
+            if len(written) <= _LONGEST:
+                if len(self.steps) >= REMEMBERED // 4:
+                    self.steps.clear()
+                self.steps[begun, written] = made
+        return made
+
+    def hopeful(self, written: set[str]) -> set[str]:
+        """Without those of letters only that begin as no word does: nothing can be read from them, or begin in them."""
+        beginnings = self.beginnings
+        return {w for w in written if w[0] in beginnings or not w.isalpha()}
+
+    def add_to(self, found: set, fragments: list[str], hopeful: set[str]) -> None:
+        held: dict[str, int] = {}  # beginnings and the last fragment that each can start with
+        tried: set[tuple[str, int]] = set()
+        for i, written in enumerate(fragments):
+            fresh = self.fresh[written] if written in hopeful else ()
+            if held:
+                onward: dict[str, int] = {}
+                for begun, start in held.items():
+                    ended, reached = self._step(begun, written)
+                    for word in ended:
+                        # the same word from the same start only drops more when met again
+                        if word not in found and (word, start) not in tried:
+                            tried.add((word, start))
+                            window = fragments[start:i + 1]
+                            if not all(map(_SINGLE.fullmatch, window)):  # such runs are decoded whole
+                                found |= self.spellings[" " + " ".join(window)]
+                    for b in reached:
+                        if onward.get(b, -1) < start:
+                            onward[b] = start
+                held = onward
+            for b in fresh:
+                held[b] = i
+
+
 @dataclass(frozen=True)
 class Scorer:
     """Character model, word weights, and what makes their sum a chance; bounded by the model's size and MAX_FEATURES."""
@@ -220,8 +324,7 @@ class Scorer:
     slope: float = 1.0
 
     def spellings(self) -> _Spellings:
-        words, weights = _spelling_words(self.model), self.weights
-        return _Spellings(lambda written: frozenset(w for w in words(written) if w in weights))
+        return _Fragments(self.weights, self.model).spellings
 
     def total(self, text: str | None, spellings: _Spellings) -> float:
         """Log odds: the strongest word decides, the others add a share of their weights."""

@@ -268,6 +268,20 @@ def test_insults_at_every_offset_of_a_long_run(spark, labelled, between):
     assert not missed
 
 
+def test_double_letters_fragments_and_any_white_space(spark, labelled):
+    rows, labels = labelled
+    scorer = toxicity.train(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    spellings = scorer.spellings()
+    for text in ("stuupid", "idiiot", "looser!", "st upid", "id iot", "s tu pid", "stupi d", "l oser", "lo\tser", "(st\nupid)", "st - upid", "id 10t", "st uupid", "water/st upid",
+                 "s\tt\tu\tp\ti\td", "i\nd\ni\no\nt", "l    o    s    e    r", "s\u00a0t\u00a0u\u00a0p\u00a0i\u00a0d"):
+        assert scorer.score(text, spellings) > 0.5 and scorer.score(f"the water {text} under there", spellings) > 0.5, text
+    for text in ("the water", "st the upid", "| " * 3000, "a - " * 3000, "i d i", "stup", "would there", "un der wat er"):
+        assert scorer.score(text, spellings) < 0.5, text
+    # words that only meet are not one word
+    met = toxicity.Scorer(scorer.model, {"thewater": 8.0, "there": 8.0}, -4.0)
+    assert met.total("of the water under", met.spellings()) == -4.0 and met.total("of the re under", met.spellings()) == 4.0
+
+
 def test_scores_of_documents(spark, labelled):
     rows, labels = labelled
     extra = [(5000, None, None, None, None, None, None), (5001, "", "s", 1, "", 1, ""), (None, "stupid idiot", "", 0, "", 0, ""), (7, rows[7][1], "s", 1, "x", 7, None)]
