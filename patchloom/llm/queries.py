@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchloom.llm import bpe, lattice, mixing, negatives, omh, passages, reputation, sharding, sketches, toxicity, warc
+from patchloom.llm import bpe, lattice, metric_trees, mixing, negatives, omh, passages, pii, reputation, sharding, sketches, toxicity, warc
 from patchloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,38 @@ def strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
+
+
+def _round(k: int) -> str:
+    """Assignment to codebook ``k``, and codebook ``k + 1``."""
+    return f"""a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(v) AS v, min(struct_pack(d := list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), i := i)) AS best
+  FROM p JOIN c{k} USING (part) GROUP BY vec_id, part),
+m{k} AS (SELECT part, i, list(floor(s / n) ORDER BY at) AS c FROM (SELECT part, best.i AS i, at, sum(x) AS s, count(*) AS n
+  FROM (SELECT part, best, unnest(v) AS x, unnest(range(len(v))) AS at FROM a{k}) GROUP BY ALL) GROUP BY part, i),
+c{k + 1} AS MATERIALIZED (SELECT part, i, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, i))"""
+
+
+METRIC_TREES_SQL = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS v FROM k, range(4) t(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS i, v AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{", ".join(_round(k) for k in range(5))},
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', best.i::INT)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, i, at)) AS sha FROM (SELECT part, i, unnest(c) AS x, unnest(range(len(c))) AS at FROM c4))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded JOIN k USING (vec_id), books
+"""
+
+
+@query("op12_metric_trees", METRIC_TREES_SQL)
+def tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_trees.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
