@@ -208,8 +208,8 @@ def _round(k: int) -> str:
     """Assignment to codebook ``k``, and codebook ``k + 1``."""
     return f"""a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(v) AS v, min(struct_pack(d := list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), i := i)) AS best
   FROM p JOIN c{k} USING (part) GROUP BY vec_id, part),
-m{k} AS (SELECT part, i, list(floor(s / n) ORDER BY at) AS c FROM (SELECT part, best.i AS i, at, sum(x) AS s, count(*) AS n
-  FROM (SELECT part, best, unnest(v) AS x, unnest(range(len(v))) AS at FROM a{k}) GROUP BY ALL) GROUP BY part, i),
+m{k} AS (SELECT part, i, list(floor(s / n) ORDER BY k) AS c FROM (SELECT part, best.i AS i, k, sum(x) AS s, count(*) AS n
+  FROM (SELECT part, best, unnest(v) AS x, unnest(range(len(v))) AS k FROM a{k}) GROUP BY ALL) GROUP BY part, i),
 c{k + 1} AS MATERIALIZED (SELECT part, i, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (part, i))"""
 
 
@@ -220,7 +220,7 @@ p AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // 4) + 1:(part + 1) *
 c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS i, v AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
 {", ".join(_round(k) for k in range(5))},
 coded AS (SELECT vec_id, string_agg(lower(printf('%02x', best.i::INT)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a4 GROUP BY vec_id),
-books AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, i, at)) AS sha FROM (SELECT part, i, unnest(c) AS x, unnest(range(len(c))) AS at FROM c4))
+books AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, i, k)) AS sha FROM (SELECT part, i, unnest(c) AS x, unnest(range(len(c))) AS k FROM c4))
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded JOIN k USING (vec_id), books
 """
 
