@@ -85,6 +85,84 @@ DOCUMENT_ENCODERS = {
 }
 
 
+IMPACTS = 64  # blocks of a term's postings, by impact
+_MARGIN = 1e-6  # bounds are this much looser than sums of doubles need
+
+
+class Postings:
+    """Postings of the words that queries ask for, in blocks of similar impact.
+
+    ``impacts`` is (corpus, term, docid, impact, block): what a document adds to a score per unit of a
+    term's weight, and the block it falls into by that. ``blocks`` has each block's highest and lowest
+    impact and size, ``asked`` (query_id, corpus, term, weight, most, kth): the most that a term can add,
+    and what it adds at least to each of its best ``k`` documents.
+    """
+
+    def __init__(self, impacts: DataFrame, blocks: DataFrame, terms: DataFrame):
+        self.impacts, self.blocks, self.terms = impacts, blocks, terms
+
+    @classmethod
+    def of(cls, queries: DataFrame, docs: DataFrame, k1: float = 0.9, b: float = 0.4, analyser: Callable[[Column], Column] = analyse) -> Postings:
+        terms = pin(queries.select("query_id", "corpus", F.explode(analyser(F.col("query"))).alias("term")).groupBy(
+            "query_id", "corpus", "term").agg(F.count(F.lit(1)).alias("qtf")))
+        # the empty term stands for "every document": its postings carry the corpus statistics,
+        # so the documents are read and analysed once
+        every = F.lit("")
+        asked = terms.select("corpus", "term").union(queries.select("corpus", every)).distinct()
+        words = docs.select("corpus", "docid", analyser(F.col("contents")).alias("w"))
+        counted = pin(
+            words.select("corpus", "docid", F.size("w").alias("dl"), F.explode(F.array_append("w", every)).alias("term"))
+            .join(asked, ["corpus", "term"], "left_semi")
+            .groupBy("corpus", "term", "docid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        )
+        stats = counted.filter(F.col("term") == every).groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+        impact = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+        impacts = pin(counted.filter(F.col("term") != every).join(stats, "corpus").select("corpus", "term", "docid", impact.alias("impact")).withColumn(
+            "block", F.floor(F.col("impact") * IMPACTS).cast("int")))
+        blocks = pin(impacts.groupBy("corpus", "term", "block").agg(
+            F.max("impact").alias("high"), F.min("impact").alias("low"), F.count(F.lit(1)).alias("n")))
+        df = blocks.groupBy("corpus", "term").agg(F.sum("n").alias("df"))
+        weight = F.col("qtf") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighted = terms.join(df, ["corpus", "term"]).join(stats, "corpus").select("query_id", "corpus", "term", weight.alias("weight"))
+        return cls(impacts, blocks, pin(weighted))
+
+    def scores(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, docid, score) of (query_id, corpus, docid), over all terms of the query."""
+        held = pairs.join(self.impacts, ["corpus", "docid"]).join(self.terms, ["query_id", "corpus", "term"])
+        return held.groupBy("query_id", "docid").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+
+    def floors(self, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, corpus, term, weight, most) and (query_id, least): a score that ``k`` documents reach.
+
+        A term whose ``k`` best documents are good promises a score; those documents are scored in full,
+        and the worst of them sets ``least``. Queries without such a term are missing.
+        """
+        best_first = Window.partitionBy("corpus", "term").orderBy(F.desc("block"))  # at most IMPACTS rows and one
+        each = self.blocks.withColumn("so_far", F.sum("n").over(best_first)).groupBy("corpus", "term").agg(
+            F.max("high").alias("high"), F.max(F.when(F.col("so_far") >= k, F.col("low"))).alias("kth"))
+        asked = pin(self.terms.join(each, ["corpus", "term"]).select("query_id", "corpus", "term", "weight", (F.col("weight") * F.col("high")).alias("most"), "kth"))
+        promise = asked.filter(F.col("kth").isNotNull()).groupBy("query_id", "corpus").agg(
+            F.max(F.struct(F.col("weight") * F.col("kth"), "term", "kth")).alias("b")).select("query_id", "corpus", "b.term", "b.kth")
+        first = Window.partitionBy("query_id").orderBy(F.desc("impact"), "docid")
+        seeds = salted_join(self.impacts, promise, ["corpus", "term"], ["docid"]).filter(F.col("impact") >= F.col("kth")).withColumn(
+            "r", F.row_number().over(first)).filter(F.col("r") <= k).select("query_id", "corpus", "docid")
+        return asked, pin(self.scores(seeds).groupBy("query_id").agg(F.min("score").alias("least")))
+
+    def candidates(self, k: int) -> DataFrame:
+        """(query_id, corpus, docid) of all documents that may be among the ``k`` best, and few others.
+
+        Terms that together can't reach the floor call no documents. Of the others, only blocks whose
+        highest impact reaches it with the most that all other terms could add.
+        """
+        asked, least = self.floors(k)
+        bounded = asked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - _MARGIN)
+        upwards = Window.partitionBy("query_id").orderBy("most", "term")  # the terms of one query
+        calling = bounded.withColumn("below", F.sum("most").over(upwards.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+            "total", F.sum("most").over(Window.partitionBy("query_id"))).filter("below >= least")
+        open_blocks = calling.join(self.blocks, ["corpus", "term"]).filter("weight * high + total - most >= least").select("query_id", "corpus", "term", "block")
+        return salted_join(self.impacts, open_blocks, ["corpus", "term", "block"], ["docid"]).select("query_id", "corpus", "docid").distinct()
+
+
 def bm25_topk(
     queries: DataFrame, docs: DataFrame, k: int = 20, k1: float = 0.9, b: float = 0.4,
     analyser: Callable[[Column], Column] = analyse, digits: int = 6,
@@ -95,37 +173,15 @@ def bm25_topk(
     corpus is a snapshot, so shared snapshots are scored from one posting table. Every
     query term counts; a long query is not shortened.
 
-    Only words that some query of the corpus asks for become postings: the list of
-    those words is broadcast when its size allows. Words that are in very many
-    documents are split over several tasks for the join.
+    The result is that of scoring all documents. Documents whose blocks can't lift them to the
+    ``k`` best are never joined; see ``Postings``. Ranks go by the score to ten digits, then by
+    docid, so equal documents keep their order whatever order their sums were taken in.
     """
-    terms = queries.select("query_id", "corpus", F.explode(analyser(F.col("query"))).alias("term")).groupBy(
-        "query_id", "corpus", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # the empty term stands for "every document": its postings carry the corpus statistics,
-    # so the documents are read and analysed once
-    every = F.lit("")
-    asked = terms.select("corpus", "term").union(queries.select("corpus", every)).distinct()
-    words = docs.select("corpus", "docid", analyser(F.col("contents")).alias("w"))
-    postings = pin(
-        words.select("corpus", "docid", F.size("w").alias("dl"), F.explode(F.array_append("w", every)).alias("term"))
-        .join(asked, ["corpus", "term"], "left_semi")
-        .groupBy("corpus", "term", "docid", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    stats = postings.filter(F.col("term") == every).groupBy("corpus").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    postings = postings.filter(F.col("term") != every)
-    df = postings.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, ["corpus", "term"]).join(stats, "corpus").select(
-        "query_id", "corpus", "term", "avg_dl",
-        (F.col("qtf") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"),
-    )
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))
-    scores = salted_join(postings, weighted, ["corpus", "term"], ["docid"]).groupBy("query_id", "docid").agg(
-        F.round(F.sum(F.col("weight") * F.col("tf") / norm), digits).alias("score")
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "docid")
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "docid", "score"
+    index = Postings.of(queries, docs, k1, b, analyser)
+    exact = index.scores(index.candidates(k)).withColumn("exact", F.round("score", 10))
+    w = Window.partitionBy("query_id").orderBy(F.desc("exact"), "docid")
+    return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "docid", F.round("exact", digits).alias("score")
     )
 
 

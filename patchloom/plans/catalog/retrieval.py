@@ -4,25 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from patchloom.functions import stem
 from patchloom.operators import retrieve
 from patchloom.plans.registry import query
 from patchloom.plans.views import load, run_sql
 
-_SCORES = """
-dt AS (SELECT corpus, docid, regexp_extract_all(lower(contents), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+') AS w FROM v_corpus),
+def _scores(terms) -> str:
+    """SQL of all scores; ``terms`` turns a text column into its list of terms."""
+    return f"""
+dt AS MATERIALIZED (SELECT corpus, docid, {terms('contents')} AS w FROM v_corpus),
 st AS (SELECT corpus, count(*) AS n_docs, avg(len(w)) AS avg_dl FROM dt GROUP BY 1),
 po AS (SELECT corpus, docid, len(w) AS dl, term, count(*) AS tf FROM (SELECT corpus, docid, w, unnest(w) AS term FROM dt) x GROUP BY ALL),
 dfr AS (SELECT corpus, term, count(*) AS df FROM po GROUP BY 1, 2),
-qt AS (SELECT query_id, corpus, term, count(*) AS qtf FROM (SELECT query_id, corpus, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+')) AS term FROM v_queries) x GROUP BY ALL),
-sc AS (SELECT query_id, docid, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avg_dl))), 6) AS score
+qt AS (SELECT query_id, corpus, term, count(*) AS qtf FROM (SELECT query_id, corpus, unnest({terms('query')}) AS term FROM v_queries) x GROUP BY ALL),
+sc AS (SELECT query_id, docid, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / avg_dl))), 10) AS exact
   FROM qt JOIN po USING (corpus, term) JOIN dfr USING (corpus, term) JOIN st USING (corpus) GROUP BY 1, 2),
-hit AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, docid)::INTEGER AS rank, docid, score FROM sc QUALIFY rank <= 20)"""
+hit AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, docid)::INTEGER AS rank, docid, round(exact, 6) AS score FROM sc QUALIFY rank <= 20)"""
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')"
+
+
+def _english(text: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in stem.STOP_WORDS)
+    whole = f"list_filter({_words(text)}, lambda w: w NOT IN ({stops}))"
+    steps = f"list_transform({whole}, lambda w: CASE WHEN length(w) < 3 THEN '#' || w ELSE w END)"  # short words stay as they are
+    for rules in stem.STEPS:
+        cases = " ".join(f"WHEN regexp_matches(w, '{r.test}') THEN regexp_replace(w, '{r.pattern}', '\\1{r.ending}')" for r in rules)
+        steps = f"list_transform({steps}, lambda w: CASE WHEN starts_with(w, '#') THEN w {cases} ELSE w END)"
+    return f"list_transform({steps}, lambda w: ltrim(w, '#'))"
+
+
+_SCORES, _ENGLISH_SCORES = _scores(_words), _scores(_english)
 # gold: good documents of the query's corpus
 _GOLD = "gold AS (SELECT q.query_id, CAST(d.doc_id AS VARCHAR) AS docid FROM v_queries q JOIN documents d ON d.source = q.corpus JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1)"
 
 
-def _hits(spark, sf_dir):
-    return retrieve.bm25_topk(load(spark, sf_dir, "v_queries"), load(spark, sf_dir, "v_corpus"))
+_RECALL = f"""{_GOLD}, r AS (SELECT g.query_id, count(h.docid) / count(*) AS recall FROM gold g LEFT JOIN hit h ON h.query_id = g.query_id AND h.docid = g.docid GROUP BY 1)
+  SELECT round(avg(recall) * 100, 6) AS avg_recall, round(avg((recall = 1)::INT) * 100, 6) AS all_recall, round(avg((recall > 0)::INT) * 100, 6) AS any_recall FROM r"""
+
+
+def _hits(spark, sf_dir, **options):
+    return retrieve.bm25_topk(load(spark, sf_dir, "v_queries"), load(spark, sf_dir, "v_corpus"), **options)
+
+
+def _recall(spark, sf_dir, **options):
+    gold = run_sql(spark, sf_dir, """SELECT q.query_id, CAST(d.doc_id AS STRING) AS docid FROM v_queries q JOIN documents d ON d.source = q.corpus
+      JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1""")
+    return retrieve.recall_summary(retrieve.recall_of(_hits(spark, sf_dir, **options), gold, "query_id"))
 
 
 @query("bm25_topk", f"WITH {_SCORES} SELECT * FROM hit")
@@ -30,12 +60,19 @@ def _(spark, sf_dir):
     return _hits(spark, sf_dir)
 
 
-@query("retrieval_recall", f"""WITH {_SCORES}, {_GOLD}, r AS (SELECT g.query_id, count(h.docid) / count(*) AS recall FROM gold g LEFT JOIN hit h ON h.query_id = g.query_id AND h.docid = g.docid GROUP BY 1)
-  SELECT round(avg(recall) * 100, 6) AS avg_recall, round(avg((recall = 1)::INT) * 100, 6) AS all_recall, round(avg((recall > 0)::INT) * 100, 6) AS any_recall FROM r""")
+@query("bm25_english", f"WITH {_ENGLISH_SCORES} SELECT * FROM hit")
 def _(spark, sf_dir):
-    gold = run_sql(spark, sf_dir, """SELECT q.query_id, CAST(d.doc_id AS STRING) AS docid FROM v_queries q JOIN documents d ON d.source = q.corpus
-      JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1""")
-    return retrieve.recall_summary(retrieve.recall_of(_hits(spark, sf_dir), gold, "query_id"))
+    return _hits(spark, sf_dir, analyser=stem.english)
+
+
+@query("retrieval_recall", f"WITH {_SCORES}, {_RECALL}")
+def _(spark, sf_dir):
+    return _recall(spark, sf_dir)
+
+
+@query("retrieval_recall_english", f"WITH {_ENGLISH_SCORES}, {_RECALL}")
+def _(spark, sf_dir):
+    return _recall(spark, sf_dir, analyser=stem.english)
 
 
 _SHOWN = """(SELECT instance_id, patch, '[start of ' || CASE number % 3 WHEN 0 THEN 'README.md' ELSE 'lib/latest.py' END || ']' || chr(10) || 'x' || chr(10) || '[end of '
