@@ -9,7 +9,7 @@ equal anchors, so
    of that phrase;
 3. a shard compiles its phrases into Aho-Corasick automata, whose letters are whole words, and
    streams the stretches of all documents through them; around each occurrence it compares the
-   windows themselves, word by word, and reports stretches of windows that occur twice;
+   windows by a hash of their words, and reports stretches of windows that occur twice;
 4. the reported stretches of a document are joined back to it and their words removed.
 
 Equal documents are one text that counts twice: all their windows recur, and only phrases that
@@ -20,8 +20,8 @@ before the shuffle, and every shard gets those that recur.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -35,7 +35,7 @@ from patchloom.session import pin
 WINDOW, PHRASE = 35, 12
 HOT = 20_000  # occurrences of a phrase beyond which it is spread over shards of about that size
 _NO_END = (1 << 31) - 1
-_CHUNK = 8192  # stretches whose phrases share an automaton
+_CHUNK = 4096  # stretches whose phrases share an automaton
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -110,72 +110,80 @@ def _starts(length: int, off: int, window: int, phrase: int) -> range:
     return range(max(0, off + phrase - window), min(off, length - window) + 1)
 
 
-def _window_hash(words: list[bytes], a: int, off: int, window: int) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words[a:a + window]), seed=off - a) - (1 << 63)
+def _places(words: list[bytes]) -> list[int]:
+    """Where each word starts in the words joined by one space, and where one more would."""
+    return [0, *accumulate(len(w) + 1 for w in words)]
+
+
+def _window_hashes(joined: bytes, off: int, window: int, phrase: int, at: list[int]) -> list[int]:
+    """A hash of each window of a stretch that holds the phrase at ``off``, and of where it holds it."""
+    return [xxhash.xxh3_64_intdigest(joined[at[a]:at[a + window] - 1], seed=off - a) for a in _starts(len(at) - 1, off, window, phrase)]
 
 
 def _count_windows(window: int, phrase: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            seen: Counter[tuple[int, int]] = Counter()
-            for h, off, weight, joined in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = joined.split()
-                for a in _starts(len(words), off, window, phrase):
-                    seen[h, _window_hash(words, a, off, window)] += weight
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.int64()), pa.array([w for _, w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "w", "n"])
+            h, w, n = [], [], []
+            for key, off, weight, joined in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                found = np.array(_window_hashes(joined, off, window, phrase, _places(joined.split())), dtype=np.uint64)
+                w.append(found)
+                h.append(np.full(len(found), key, dtype=np.int64))
+                n.append(np.full(len(found), weight, dtype=np.int64))
+            if not w:
+                continue
+            hs, ws, ns = np.concatenate(h), np.concatenate(w).view(np.int64), np.concatenate(n)
+            order = np.lexsort((ws, hs))
+            hs, ws, ns = hs[order], ws[order], ns[order]
+            new = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])])[:len(hs)])
+            if len(new):
+                yield pa.RecordBatch.from_arrays([pa.array(hs[new]), pa.array(ws[new]), pa.array(np.add.reduceat(ns, new))], names=["h", "w", "n"])
     return run
 
 
 class _Shard:
-    """Phrases of one chunk, compiled; each word is one letter of the automaton's alphabet."""
+    """Phrases of one chunk, compiled; a phrase is its words with a space around each."""
 
     def __init__(self, window: int, phrase: int):
         self.window, self.phrase = window, phrase
 
-    def report(self, groups: list[tuple[set[int] | None, list[tuple]]]) -> Iterator[tuple[int, int, int, int]]:
-        """(d, m, lo, hi) of recurring words; a group is (recurring windows or None, stretches of a phrase)."""
-        letters: dict[bytes, str] = {}
-
-        def spelled(words: list[bytes]) -> str:
-            return "".join([letters.get(w) or letters.setdefault(w, chr(len(letters) + (1 if len(letters) < 0xD7FF else 0x801))) for w in words])
+    def report(self, groups: list[tuple[np.ndarray | None, list[tuple]]]) -> Iterator[tuple[int, int, int, int]]:
+        """(d, m, lo, hi) of recurring words; a group is (recurring windows, ascending, or None; stretches of a phrase).
 
+        Of a stretch only its bytes and one number a window are held.
+        """
         automaton = ahocorasick.Automaton()
         prepared = []
         for known, rows in groups:
             alike: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}  # equal stretches are looked into once
             for d, m, weight, start, off, joined in rows:
                 alike.setdefault((off, joined), []).append((d, m, weight, start))
-            own = []
-            for (off, joined), places in alike.items():
-                words = joined.split()
-                line = spelled(words)
-                held = line[off:off + self.phrase]
-                if held not in automaton:
-                    automaton.add_word(held, None)
-                own.append((off, words, line, places))
-            prepared.append((known, own))
+            for off, joined in alike:
+                held = b" %s " % b" ".join(joined.split()[off:off + self.phrase])
+                automaton.add_word(held.decode("latin-1"), len(held))
+            prepared.append((known, alike))
         automaton.make_automaton()
-        for known, stretches in prepared:
-            counts: Counter[tuple[int, str]] = Counter()
-            seen = []
-            for off, words, line, places in stretches:
-                if not any(end - self.phrase + 1 == off for end, _ in automaton.iter(line, 0, off + self.phrase)):
+        for known, alike in prepared:
+            found, weights, owners = [], [], []
+            for (off, joined), places in alike.items():
+                at = _places(joined.split())
+                line = f" {joined.decode('latin-1')} "
+                if not any(end - size + 1 == at[off] for end, size in automaton.iter(line, at[off], at[min(off + self.phrase, len(at) - 1)] + 1)):
                     continue
-                starts = _starts(len(words), off, self.window, self.phrase)
-                if known is None:
-                    keys = [(off - a, line[a:a + self.window]) for a in starts]
-                    weight = sum(w for _, _, w, _ in places)
-                    for key in keys:
-                        counts[key] += weight
-                    seen.append((starts, keys, places))
-                else:
-                    seen.append(([a for a in starts if _window_hash(words, a, off, self.window) in known], None, places))
-            for starts, keys, places in seen:
+                found.append(np.array(_window_hashes(joined, off, self.window, self.phrase, at), dtype=np.uint64))
+                weights.append(sum(w for _, _, w, _ in places))
+                owners.append((max(0, off + self.phrase - self.window), places))
+            if not found:
+                continue
+            sizes = [len(f) for f in found]
+            windows = np.concatenate(found)
+            if known is None:
+                each, which = np.unique(windows, return_inverse=True)
+                again = (np.bincount(which, np.repeat(weights, sizes), len(each)) >= 2)[which]
+            else:
+                again = np.isin(windows.view(np.int64), known)
+            for (first, places), marks in zip(owners, np.split(again, np.cumsum(sizes)[:-1]), strict=True):
                 spans: list[list[int]] = []
-                for i, a in enumerate(starts):
-                    if keys is not None and counts[keys[i]] < 2:
-                        continue
+                for a in (np.flatnonzero(marks) + first).tolist():
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = a + self.window
                     else:
@@ -202,10 +210,10 @@ def _locate(window: int, phrase: int):
                     if size >= _CHUNK:
                         yield table(groups)
                         groups, size = [], 0
-                    groups.append((set() if slices > 1 else None, []))
+                    groups.append(([] if slices > 1 else None, []))
                     now = (h, piece)
                 if joined is None:
-                    groups[-1][0].add(w)
+                    groups[-1][0].append(w)
                 else:
                     groups[-1][1].append((d, m, weight, start, off, joined))
                     size += 1
