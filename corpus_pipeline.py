@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchloom.llm import bpe, mixing, passages, sketches, toxicity
+from patchloom.session import pin
 
 REJECT_FROM = 0.5  # toxicity score
 SIMILARITY = 80  # percent of Jaccard similarity from which documents are near-duplicates
@@ -19,7 +20,10 @@ MIX_WEIGHTS, MIX_TOTAL, MIX_MOST = (3, 1, 2), 1.5, 2
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score as toxic; weights are learned from the labels outside the held-out fold."""
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.add_scores(docs, scorer, "text", "__toxicity").filter(F.col("__toxicity") < REJECT_FROM).drop("__toxicity")
+    score = "__toxicity"
+    while score in (c.lower() for c in docs.columns):
+        score += "_"
+    return toxicity.add_scores(docs, scorer, "text", score).filter(F.col(score) < REJECT_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written once below ``spark.checkpoint.dir`` and the next one reads that table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = pin(stage(spark, docs, sf_dir))
     return docs

@@ -241,15 +241,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest key; all columns as they are.
 
-    Null keys go last; of rows with equal key and text one stays. Rows without words all stay.
+    Null keys go last; of rows with equal key and text that with the least hash of its columns
+    stays. Rows without words all stay.
     """
     placed = _placed(docs, key, text, words, percent, k).filter("_component IS NOT NULL")
     best = placed.groupBy("_component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_t", "_k")).alias("_best"))
     chosen = pin(best.select("_best._k", "_best._t"))
     worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), *_pointer(key, text), worded.alias("_worded"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), *_pointer(key, text), F.xxhash64(*hashed).alias("_all"), worded.alias("_worded"))
     # an aggregate, because copies of one row are then dropped before they are moved
-    stay = packed.filter("_worded").join(chosen, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
+    stay = packed.filter("_worded").join(chosen, ["_k", "_t"], "left_semi").groupBy("_k", "_t").agg(F.min_by("_row", "_all").alias("_row"))
     return stay.select("_row.*").unionByName(packed.filter("NOT _worded").select("_row.*"))
 
 

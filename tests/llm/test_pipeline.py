@@ -18,7 +18,7 @@ DOC = "doc_id long, text string, lang string, source string, n_chars long, score
 def test_stages_are_the_agreed_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "mix", "tokenize"]
     assert "pipeline" in __spark_entry__.queries() and set(QUERIES) <= set(__spark_entry__.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -80,3 +80,15 @@ def test_stages_on_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_the_row_kept_of_equal_ids_and_texts_does_not_depend_on_order(spark):
+    rows = [(1, "one two three four five six", "en", f"s{i}", 5, float(i), "c", i) for i in range(40)]
+    kept = [corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(part, DOC).repartition(n), "").collect() for part, n in ((rows, 3), (rows[::-1], 7))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
+def test_a_column_named_like_the_score_stays(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("__toxicity", F.lit(2.0))
+    left = corpus_pipeline.reject_toxic(spark, docs, folder)
+    assert left.columns == docs.columns and {r[0] for r in left.select("__toxicity").distinct().collect()} == {2.0}
