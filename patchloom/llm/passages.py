@@ -4,38 +4,62 @@ A window of WINDOW words recurs when its words also start somewhere else. Each w
 anchor: the phrase of PHRASE words whose hash is least among those inside. Equal windows have
 equal anchors, so
 
-1. phrases that are anchors anywhere are counted over all documents; those met twice recur;
-2. each place of a recurring phrase goes, with the words of all windows around it, to the shard
-   of that phrase;
-3. a shard compiles its phrases into Aho-Corasick automata, whose letters are whole words, and
-   streams the stretches of all documents through them; around each occurrence it compares the
-   windows by a hash of their words, and reports stretches of windows that occur twice;
-4. the reported stretches of a document are joined back to it and their words removed.
-
-Equal documents are one text that counts twice: all their windows recur, and only phrases that
-other texts hold too, or that the text repeats, are looked into. A phrase with very many
-occurrences is spread over several shards. Its windows are then counted by a sum that is taken
-before the shuffle, and every shard gets those that recur.
+1. phrases that are anchors anywhere are counted over all documents; those met at two places
+   recur. The least place of a phrase is its home, and all phrases of one home make a shard, as
+   phrases that stand together in one text tend to recur together;
+2. each text goes whole to the shards of which it holds a phrase, once for each;
+3. a shard compiles its phrases into an Aho-Corasick automaton and streams its texts through it.
+   The places that the automaton returns are the only ones looked at: the windows around them
+   that have the phrase as anchor are compared by 128 bits of hashes of their words;
+4. the words of the windows that occur twice are removed from their documents.
+
+Texts beyond PIECE bytes go in pieces that overlap by WINDOW - 1 words, so that each window is in
+one piece. A shard with over SLICE bytes of texts is split into slices; each compiles the shard's
+phrases and tells every window that it holds once, and those it holds more often, to a sum over
+the slices. Equal documents are one text that counts twice.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, functions as F
 
 from patchloom.llm.words import Words, batches
 from patchloom.session import pin
 
 WINDOW, PHRASE = 35, 12
-HOT = 20_000  # occurrences of a phrase beyond which it is spread over shards of about that size
+PIECE = 1 << 18  # bytes of a text that are looked at together
+SLICE = 1 << 20  # bytes of texts from which a shard is split
+_BUNDLE = 1 << 20  # bytes of texts and phrases whose shards share an automaton
 _NO_END = (1 << 31) - 1
-_CHUNK = 4096  # stretches whose phrases share an automaton
+_SPACE = re.compile(rb"[\x20\t-\r]")
+
+
+def pieces(text: bytes, size: int, overlap: int) -> Iterator[tuple[int, int, bytes]]:
+    """(number, index of its first word, words joined by one space) of each piece of about ``size`` bytes.
+
+    A piece starts with the last ``overlap`` words of the one before; words stay whole.
+    """
+    at, number, first, width = 0, 0, 0, size
+    while at + width < len(text):
+        edge = _SPACE.search(text, at + width)
+        if not edge:
+            break
+        chunk = text[at:edge.start()]
+        words = chunk.split()
+        if len(words) < 2 * overlap:  # very long words
+            width *= 2
+            continue
+        yield number, first, b" ".join(words)
+        at += len(chunk.rsplit(None, overlap)[0])
+        number, first, width = number + 1, first + len(words) - overlap, size
+    yield number, first, b" ".join(text[at:].split())
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -65,159 +89,176 @@ def anchors(words: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndar
     return text[ok], (at - words.first[text])[ok], runs[at][ok].view(np.int64)
 
 
-def _find_anchors(window: int, phrase: int):
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            ids, marks = (np.asarray(batch.column(i)) for i in (0, 1))
-            texts = (v.as_buffer().to_pybytes() for v in batch.column(2))
-            for first, part in batches(texts):
-                text, place, value = anchors(Words(part), window, phrase)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + text]), pa.array(marks[first + text]), pa.array(place.astype(np.int32)), pa.array(value)], names=["d", "m", "pos", "h"])
-    return run
+def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _cut_stretches(window: int, phrase: int):
-    """(h, slices, d, m, weight, start, off, words) around each recurring anchor of a text."""
+def _find_anchors(window: int, phrase: int, size: int):
+    """(d, m, p, bytes, pos, h): anchors at word ``pos`` of piece ``p`` of a text, with the piece's bytes."""
+    def table(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        text, place, value = anchors(Words([h[3] for h in held]), window, phrase)
+        whose = [np.array([h[i] for h in held], dtype=t)[text] for i, t in ((0, np.int64), (1, np.int32), (2, np.int32))]
+        sizes = np.array([len(h[3]) for h in held], dtype=np.int32)[text]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in (*whose, sizes, place.astype(np.int32), value)], names=["d", "m", "p", "bytes", "pos", "h"])
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            out: list[tuple] = []
-            for d, m, weight, text, places in zip(*(batch.column(i) for i in range(5)), strict=True):
-                words = text.as_py().split()
-                name = d.as_py(), m.as_py(), weight.as_py()
-                at, phrases, slices = (places.values.field(i).to_pylist() for i in range(3))
-                for pos, h, n in zip(at, phrases, slices, strict=True):
-                    a = max(0, pos - (window - phrase))
-                    out.append((h, n, *name, a, pos - a, b" ".join(words[a:pos + window])))
-                if len(out) > 20_000:
-                    yield _stretches(out)
-                    out = []
-            yield _stretches(out)
+            held, total = [], 0
+            for d, m, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for p, _, piece in pieces(text.as_buffer().to_pybytes(), size, window - 1):
+                    held.append((d, m, p, piece))
+                    total += len(piece) + 1
+                    if total > 1 << 19:
+                        yield table(held)
+                        held, total = [], 0
+            if held:
+                yield table(held)
     return run
 
 
-_STRETCH = "h long, slices int, d long, m int, weight int, start int, off int, words binary"
-
-
-def _stretches(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split(" ")[0] for f in _STRETCH.split(", ")])
-
-
-def _starts(length: int, off: int, window: int, phrase: int) -> range:
-    """First words of the windows of a stretch that hold the phrase at ``off``."""
-    return range(max(0, off + phrase - window), min(off, length - window) + 1)
-
+_DEALT = [("shard", pa.int64()), ("slice", pa.int32()), ("slices", pa.int32()), ("d", pa.int64()), ("m", pa.int32()), ("first", pa.int32()), ("weight", pa.int32()), ("phrases", pa.binary()), ("words", pa.binary())]
+_DEALT_SQL = "shard long, slice int, slices int, d long, m int, first int, weight int, phrases binary, words binary"
 
-def _places(words: list[bytes]) -> list[int]:
-    """Where each word starts in the words joined by one space, and where one more would."""
-    return [0, *accumulate(len(w) + 1 for w in words)]
 
-
-def _window_hashes(joined: bytes, off: int, window: int, phrase: int, at: list[int]) -> list[int]:
-    """A hash of each window of a stretch that holds the phrase at ``off``, and of where it holds it."""
-    return [xxhash.xxh3_64_intdigest(joined[at[a]:at[a + window] - 1], seed=off - a) for a in _starts(len(at) - 1, off, window, phrase)]
-
-
-def _count_windows(window: int, phrase: int):
+def _deal(window: int, phrase: int, size: int):
+    """Rows of a slice: the phrases of the shard that a piece is home of, one a line, and the piece where it goes there."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            h, w, n = [], [], []
-            for key, off, weight, joined in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                found = np.array(_window_hashes(joined, off, window, phrase, _places(joined.split())), dtype=np.uint64)
-                w.append(found)
-                h.append(np.full(len(found), key, dtype=np.int64))
-                n.append(np.full(len(found), weight, dtype=np.int64))
-            if not w:
-                continue
-            hs, ws, ns = np.concatenate(h), np.concatenate(w).view(np.int64), np.concatenate(n)
-            order = np.lexsort((ws, hs))
-            hs, ws, ns = hs[order], ws[order], ns[order]
-            new = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])])[:len(hs)])
-            if len(new):
-                yield pa.RecordBatch.from_arrays([pa.array(hs[new]), pa.array(ws[new]), pa.array(np.add.reduceat(ns, new))], names=["h", "w", "n"])
+            out, total = [], 0
+            for d, m, weight, text, routes in zip(*batch.columns, strict=True):
+                name = d.as_py(), m.as_py()
+                weight = weight.as_py()
+                by_piece: dict[int, list[dict]] = {}
+                for route in routes.as_py():
+                    by_piece.setdefault(route["p"], []).append(route)
+                for p, first, piece in pieces(text.as_buffer().to_pybytes(), size, window - 1):
+                    for route in by_piece.get(p, ()):
+                        phrases = None
+                        if route["positions"]:
+                            words = piece.split(b" ")
+                            phrases = b"\n".join(b" ".join(words[a:a + phrase]) for a in route["positions"])
+                        out.append((route["shard"], route["slice"], route["slices"], *name, first, weight, phrases, piece if route["goes"] else None))
+                        total += len(piece)
+                        if total > 1 << 22:
+                            yield _table(out, _DEALT)
+                            out, total = [], 0
+            if out:
+                yield _table(out, _DEALT)
     return run
 
 
-class _Shard:
-    """Phrases of one chunk, compiled; a phrase is its words with a space around each."""
+def windows_at_phrases(automaton: ahocorasick.Automaton, words: Words, window: int, phrase: int) -> np.ndarray:
+    """First words of the windows whose anchor is a phrase that the automaton finds in ``words``.
 
-    def __init__(self, window: int, phrase: int):
-        self.window, self.phrase = window, phrase
+    The texts of ``words`` hold one space between words. The automaton's keys are phrases with a
+    space before and after, its values their lengths.
+    """
+    line = " " + words.data.tobytes().decode("latin-1")
+    starts = np.fromiter((end - length + 1 for end, length in automaton.iter(line)), dtype=np.int64)
+    if not len(starts) or len(words.hashes) < window:
+        return np.zeros(0, dtype=np.int64)
+    at = np.searchsorted(words.start, starts)
+    runs, span = words.runs(phrase), window - phrase + 1
+    least = _sliding(runs, span, np.minimum)
+    stop = np.repeat(words.first[1:], np.diff(words.first))[: len(least)]
+    marked = np.zeros(len(least), dtype=bool)
+    for back in range(span):
+        a = at - back
+        ok = (a >= 0) & (a < len(least))
+        a, hashes = a[ok], runs[at[ok]]
+        marked[a[least[a] == hashes]] = True
+    return np.flatnonzero(marked & (np.arange(len(least)) + window <= stop))
 
-    def report(self, groups: list[tuple[np.ndarray | None, list[tuple]]]) -> Iterator[tuple[int, int, int, int]]:
-        """(d, m, lo, hi) of recurring words; a group is (recurring windows, ascending, or None; stretches of a phrase).
 
-        Of a stretch only its bytes and one number a window are held.
-        """
+class _Bundle:
+    """Slices that share an automaton; a text counts for the slice it was sent to."""
+
+    def __init__(self, window: int, phrase: int):
+        self.window, self.phrase = window, phrase
+        self.slices: list[tuple[int, int]] = []  # shard, number of its slices
+        self.phrases: set[bytes] = set()
+        self.names: list[tuple[int, int, int, int, int]] = []  # index in slices, d, m, first, weight
+        self.texts: list[bytes] = []
+        self.bytes = 0
+
+    def add(self, d: int, m: int, first: int, weight: int, phrases: bytes | None, words: bytes | None) -> None:
+        if phrases is not None:
+            self.phrases.update(phrases.split(b"\n"))
+            self.bytes += len(phrases)
+        if words is not None:
+            self.names.append((len(self.slices) - 1, d, m, first, weight))
+            self.texts.append(words)
+            self.bytes += len(words)
+
+    def table(self) -> Iterator[pa.RecordBatch]:
+        """Ranges of recurring words (a is null), and windows to be summed over the slices of a shard."""
+        if not self.phrases or not self.texts:
+            return
         automaton = ahocorasick.Automaton()
-        prepared = []
-        for known, rows in groups:
-            alike: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}  # equal stretches are looked into once
-            for d, m, weight, start, off, joined in rows:
-                alike.setdefault((off, joined), []).append((d, m, weight, start))
-            for off, joined in alike:
-                held = b" %s " % b" ".join(joined.split()[off:off + self.phrase])
-                automaton.add_word(held.decode("latin-1"), len(held))
-            prepared.append((known, alike))
+        for held in self.phrases:
+            automaton.add_word(f" {held.decode('latin-1')} ", len(held) + 2)
         automaton.make_automaton()
-        for known, alike in prepared:
-            found, weights, owners = [], [], []
-            for (off, joined), places in alike.items():
-                at = _places(joined.split())
-                line = f" {joined.decode('latin-1')} "
-                if not any(end - size + 1 == at[off] for end, size in automaton.iter(line, at[off], at[min(off + self.phrase, len(at) - 1)] + 1)):
-                    continue
-                found.append(np.array(_window_hashes(joined, off, self.window, self.phrase, at), dtype=np.uint64))
-                weights.append(sum(w for _, _, w, _ in places))
-                owners.append((max(0, off + self.phrase - self.window), places))
-            if not found:
-                continue
-            sizes = [len(f) for f in found]
-            windows = np.concatenate(found)
-            if known is None:
-                each, which = np.unique(windows, return_inverse=True)
-                again = (np.bincount(which, np.repeat(weights, sizes), len(each)) >= 2)[which]
-            else:
-                again = np.isin(windows.view(np.int64), known)
-            for (first, places), marks in zip(owners, np.split(again, np.cumsum(sizes)[:-1]), strict=True):
-                spans: list[list[int]] = []
-                for a in (np.flatnonzero(marks) + first).tolist():
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = a + self.window
-                    else:
-                        spans.append([a, a + self.window])
-                for lo, hi in spans:
-                    for d, m, _, start in places:
-                        yield d, m, start + lo, start + hi
+        parts: list[tuple[np.ndarray, ...]] = []
+        for index, part in batches(self.texts):
+            words = Words(part)
+            at = windows_at_phrases(automaton, words, self.window, self.phrase)
+            if len(at):
+                text = np.searchsorted(words.first, at, side="right") - 1
+                parts.append((index + text, at - words.first[text], words.runs(self.window)[at], words.runs(self.window, 1)[at]))
+        if not parts:
+            return
+        text, place, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names = np.array(self.names, dtype=np.int64)
+        which, d, m, first, weight = names[text].T
+        lo = first + place
+        order = np.lexsort((b, a, which))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (which, a, b)], axis=0)
+        heads = np.flatnonzero(new)
+        sums = np.add.reduceat(weight[order], heads)
+        again = np.empty(len(order), dtype=bool)
+        again[order] = np.repeat(sums >= 2, np.diff(np.append(heads, len(order))))
+        yield self._ranges(text[again], d[again], m[again], lo[again])
+        shards, slices = np.array(self.slices, dtype=np.int64).T
+        one = order[heads]  # a window of each kind, for shards of several slices
+        keep = slices[which[one]] > 1
+        one, sums = one[keep], sums[keep]
+        if len(one):
+            alone = pa.array(sums < 2)
+            null = pa.nulls(len(one), pa.int64())
+            place_of = [pa.compute.if_else(alone, pa.array(x[one]), null).cast(k) for x, k in ((d, pa.int64()), (m, pa.int32()), (lo, pa.int32()), (lo + self.window, pa.int32()))]
+            key = a[one].view(np.int64) ^ shards[which[one]]
+            yield pa.RecordBatch.from_arrays([*place_of, pa.array(key), pa.array(b[one].view(np.int64)), pa.array(np.minimum(sums, 2).astype(np.int32))], names=_LOCATED)
+
+    def _ranges(self, text: np.ndarray, d: np.ndarray, m: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(lo), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (lo[1:] - lo[:-1] > self.window)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(lo))[: len(head)] - 1
+        null = pa.nulls(len(head), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(d[head]), pa.array(m[head].astype(np.int32)), pa.array(lo[head].astype(np.int32)), pa.array((lo[tail] + self.window).astype(np.int32)), null, null, null.cast(pa.int32())], names=_LOCATED)
+
+
+_LOCATED = ["d", "m", "lo", "hi", "a", "b", "n"]
 
 
 def _locate(window: int, phrase: int):
-    """Rows come sorted by (h, slice, kind): recurring windows of a hot phrase first, then its stretches."""
+    """Rows come sorted by shard and slice."""
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(window, phrase)
-
-        def table(groups) -> pa.RecordBatch:
-            columns = list(zip(*shard.report(groups), strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["d", "m", "lo", "hi"])
-
-        groups: list = []
-        size, now = 0, None
+        bundle, now = _Bundle(window, phrase), None
         for batch in stream:
-            for h, piece, slices, w, d, m, weight, start, off, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (h, piece) != now:
-                    if size >= _CHUNK:
-                        yield table(groups)
-                        groups, size = [], 0
-                    groups.append(([] if slices > 1 else None, []))
-                    now = (h, piece)
-                if joined is None:
-                    groups[-1][0].append(w)
-                else:
-                    groups[-1][1].append((d, m, weight, start, off, joined))
-                    size += 1
-        yield table(groups)
+            for shard, piece, slices, *name, phrases, words in zip(*batch.columns, strict=True):
+                key = shard.as_py(), piece.as_py()
+                if key != now:
+                    if bundle.bytes >= _BUNDLE:
+                        yield from bundle.table()
+                        bundle = _Bundle(window, phrase)
+                    bundle.slices.append((key[0], slices.as_py()))
+                    now = key
+                bundle.add(*(x.as_py() for x in name), phrases.as_py(), words.as_py())
+        yield from bundle.table()
     return run
 
 
@@ -226,24 +267,25 @@ def recurring_spans(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
     Spans are (lo, hi) word ranges and may overlap; that of equal documents has no end.
     """
-    found = pin(rows.mapInArrow(_find_anchors(window, phrase), "d long, m int, pos int, h long"))
-    place = F.struct("d", "m", "pos")
-    again = found.groupBy("h").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi"), F.count(F.lit(1)).alias("n")).filter("_lo <> _hi")
-    again = pin(again.select("h", F.ceil(F.col("n") / HOT).cast("int").alias("slices")))
-    places = found.join(again, "h").groupBy("d", "m").agg(F.collect_set(F.struct("pos", "h", "slices")).alias("places"))
+    found = pin(rows.mapInArrow(_find_anchors(window, phrase, PIECE), "d long, m int, p int, bytes int, pos int, h long"))
+    place = F.struct("d", "m", "p", "pos")
+    again = found.groupBy("h").agg(F.min(place).alias("home"), F.max(place).alias("_other")).filter("home <> _other").select("h", "home")
+    routes = pin(found.join(again, "h").withColumn("shard", F.xxhash64("home.d", "home.m", "home.p")).groupBy("d", "m", "p", "shard").agg(
+        F.max("bytes").alias("bytes"), F.collect_set(F.when(place == F.col("home"), F.col("pos"))).alias("positions")))
+    large = routes.groupBy("shard").agg(F.sum("bytes").alias("_all")).filter(F.col("_all") > SLICE).select("shard", F.ceil(F.col("_all") / SLICE).cast("int").alias("slices"))
+    own = F.pmod(F.xxhash64("d", "m", "p"), F.col("slices")).cast("int")
+    slices = F.when(F.size("positions") > 0, F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(own))
+    sent = routes.join(large, "shard", "left").fillna(1, ["slices"]).withColumn("slice", F.explode(slices)).withColumn("goes", F.col("slice") == own)
+    sent = sent.groupBy("d", "m").agg(F.collect_list(F.struct("p", "shard", "slice", "slices", "goes", "positions")).alias("routes"))
     texts = rows.groupBy("d", "m").agg(F.first("text").alias("text"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"))
-    cut = pin(texts.join(places, ["d", "m"]).select("d", "m", "weight", "text", "places").mapInArrow(_cut_stretches(window, phrase), _STRETCH))
-    hot = cut.filter("slices > 1")
-    windows = hot.select("h", "off", "weight", "words").mapInArrow(_count_windows(window, phrase), "h long, w long, n long").groupBy("h", "w").agg(F.sum("n").alias("n")).filter("n > 1")
-    empty = {c: F.lit(None).cast(k) for c, k in (("d", "long"), ("m", "int"), ("weight", "int"), ("start", "int"), ("off", "int"), ("words", "binary"))}
-    recurring = windows.select("h", "w").join(again.filter("slices > 1"), "h").withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumns(empty)
-    stretches = cut.withColumn("piece", F.pmod(F.xxhash64("d", "start"), F.col("slices")).cast("int")).withColumn("w", F.lit(None).cast("long"))
-    columns = ["h", "piece", "slices", "w", "d", "m", "weight", "start", "off", "words"]
-    dealt = stretches.select(*columns).unionByName(recurring.select(*columns)).repartition("h", "piece").sortWithinPartitions("h", "piece", F.col("words").isNotNull())
-    spans = dealt.mapInArrow(_locate(window, phrase), "d long, m int, lo int, hi int")
+    dealt = texts.join(sent, ["d", "m"]).select("d", "m", "weight", "text", "routes").mapInArrow(_deal(window, phrase, PIECE), _DEALT_SQL)
+    located = pin(dealt.repartition("shard", "slice").sortWithinPartitions("shard", "slice").mapInArrow(
+        _locate(window, phrase), "d long, m int, lo int, hi int, a long, b long, n int"))
+    between = located.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "m", "lo", "hi"))).alias("alone"))
+    between = between.filter("n > 1").select(F.explode("alone").alias("s")).select("s.d", "s.m", "s.lo", "s.hi")
     copies = rows.groupBy("d", "m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "m", F.lit(0).alias("lo"), F.lit(_NO_END).alias("hi"))
-    return spans.unionByName(copies).groupBy("d", "m").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = located.filter("a IS NULL").select("d", "m", "lo", "hi").unionByName(between).unionByName(copies)
+    return spans.groupBy("d", "m").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def _strip(rejoin: bool, window: int):

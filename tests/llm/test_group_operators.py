@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pytest
 
@@ -142,9 +143,10 @@ def without_recurring(all_words, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 3])
-def test_passages_against_all_windows(docs, hot, monkeypatch):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("slice_bytes, piece_bytes", [(passages.SLICE, passages.PIECE), (600, 500)])
+def test_passages_against_all_windows(docs, slice_bytes, piece_bytes, monkeypatch):
+    monkeypatch.setattr(passages, "SLICE", slice_bytes)
+    monkeypatch.setattr(passages, "PIECE", piece_bytes)
     frame, rows = docs
     all_words = [WORD.findall(r[1] or "") for r in rows]
     kept = without_recurring(all_words, 35)
@@ -154,6 +156,39 @@ def test_passages_against_all_windows(docs, hot, monkeypatch):
     assert any(0 < len(k) < len(w) for w, k in zip(all_words, kept, strict=True))
 
 
+def test_only_what_the_automaton_finds_is_compared():
+    text = " ".join(f"w{i}" for i in range(200)).encode()
+    held = Words([text])
+    _, places, _ = passages.anchors(held, 35, 12)
+    all_words = text.split()
+
+    def compiled(chosen):
+        automaton = ahocorasick.Automaton()
+        for key in [" of another text ", *(f" {b' '.join(all_words[a:a + 12]).decode()} " for a in chosen)]:
+            automaton.add_word(key, len(key))
+        automaton.make_automaton()
+        return automaton
+
+    assert passages.windows_at_phrases(compiled(places.tolist()), held, 35, 12).tolist() == list(range(166))
+    found = passages.windows_at_phrases(compiled(places.tolist()[:1]), held, 35, 12).tolist()
+    assert 0 < len(found) <= 24 and found == list(range(found[0], found[-1] + 1)) and places[0] in range(found[0], found[-1] + 24)
+    assert not len(passages.windows_at_phrases(compiled([]), held, 35, 12))
+
+
+@pytest.mark.parametrize("size", [1, 40, 300, 10_000])
+def test_pieces_hold_each_window_once(size):
+    rng = random.Random(size)
+    words = [b"x" * rng.choice((1, 2, 9, 400)) + str(i).encode() for i in range(500)]
+    text = b"\n " + b"".join(w + rng.choice((b" ", b"\t\n", b"   ")) for w in words)
+    windows = []
+    for number, (p, first, piece) in enumerate(passages.pieces(text, size, 34)):
+        mine = piece.split(b" ")
+        assert p == number and mine == words[first:first + len(mine)]
+        windows += range(first, first + len(mine) - 34)
+    assert windows == list(range(466))
+    assert list(passages.pieces(b"", size, 34)) == [(0, 0, b"")]
+
+
 def test_periodic_and_repeated_texts(spark):
     texts = ["a b c " * 40, "a b c " * 13, "x y " * 18 + "z", "q " * 36, "q " * 35, "r " * 35, " ".join(map(str, range(70))) + " " + " ".join(map(str, range(10, 45)))]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
