@@ -5,8 +5,8 @@ anchor: the phrase of PHRASE words whose hash is least among those inside. Equal
 equal anchors, so
 
 1. phrases that are anchors anywhere are counted over all documents; those met at two places
-   recur. The least place of a phrase is its home, and all phrases of one home make a shard, as
-   phrases that stand together in one text tend to recur together;
+   recur. The text (or piece) with the least hash is a phrase's home, and all phrases of one home
+   make a shard, as phrases that stand together in one text tend to recur together;
 2. each text goes whole to the shards of which it holds a phrase, once for each;
 3. a shard compiles its phrases into an Aho-Corasick automaton and streams its texts through it.
    The places that the automaton returns are the only ones looked at: the windows around them
@@ -268,10 +268,11 @@ def recurring_spans(rows: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     Spans are (lo, hi) word ranges and may overlap; that of equal documents has no end.
     """
     found = pin(rows.mapInArrow(_find_anchors(window, phrase, PIECE), "d long, m int, p int, bytes int, pos int, h long"))
-    place = F.struct("d", "m", "p", "pos")
-    again = found.groupBy("h").agg(F.min(place).alias("home"), F.max(place).alias("_other")).filter("home <> _other").select("h", "home")
-    routes = pin(found.join(again, "h").withColumn("shard", F.xxhash64("home.d", "home.m", "home.p")).groupBy("d", "m", "p", "shard").agg(
-        F.max("bytes").alias("bytes"), F.collect_set(F.when(place == F.col("home"), F.col("pos"))).alias("positions")))
+    found = found.withColumn("unit", F.xxhash64("d", "m", "p"))
+    again = found.groupBy("h").agg(F.min("unit").alias("shard"), F.max("unit").alias("_unit"), F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
+    again = pin(again.filter("shard <> _unit OR _lo <> _hi").select("h", "shard"))
+    routes = pin(found.join(again, "h").groupBy("d", "m", "p", "shard").agg(
+        F.max("bytes").alias("bytes"), F.collect_set(F.when(F.col("unit") == F.col("shard"), F.col("pos"))).alias("positions")))
     large = routes.groupBy("shard").agg(F.sum("bytes").alias("_all")).filter(F.col("_all") > SLICE).select("shard", F.ceil(F.col("_all") / SLICE).cast("int").alias("slices"))
     own = F.pmod(F.xxhash64("d", "m", "p"), F.col("slices")).cast("int")
     slices = F.when(F.size("positions") > 0, F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(own))
