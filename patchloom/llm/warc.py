@@ -182,19 +182,31 @@ def captures(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> DataFra
     return assemble(read_archives(pages.sparkSession, path))
 
 
-def capture_digests(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page, from its archived records.
+def digests(records: DataFrame) -> DataFrame:
+    """(page_id string, payload_bytes, payload_digest, record_type, refers_to string) of each capture that has a response or revisit.
 
-    A response's figures are taken from the payload that was read back, a revisit's from its headers.
+    The digest of a response is taken from its payload, that of a revisit from its headers. The
+    length is what the capture's metadata record says. A capture whose request or metadata is
+    missing or repeated, or tells another address or length than its response, ends the job with
+    an error that names the page.
     """
-    write_archives(pages, path, least)
     stored = F.col("type") == "response"
-    records = read_archives(pages.sparkSession, path).withColumns({
+    records = records.withColumns({
         "payload_length": F.when(stored, F.octet_length("block").cast("long")).otherwise(F.col("payload_length")),
         "payload_digest": F.when(stored, F.sha1("block")).otherwise(F.col("payload_digest")),
     })
-    kind = pages.schema["page_id"].dataType
-    found = assemble(records, ["type", "page_id", "refers_to", "payload_length", "payload_digest"]).filter("response IS NOT NULL")
+    found = assemble(records, ["type", "page_id", "uri", "refers_to", "payload_length", "payload_digest"]).filter("response IS NOT NULL")
+    request, metadata = F.get("requests", F.lit(0)), F.get("metadata", F.lit(0))
+    told = F.regexp_extract(metadata["block"].cast("string"), "(?m)^payload-length: ([0-9]+)", 1).try_cast("long")
+    whole = (F.size("requests") == 1) & (F.size("metadata") == 1) & request["uri"].eqNullSafe(F.col("response.uri")) & (told == F.col("response.payload_length"))
+    error = F.raise_error(F.concat(F.lit("records of one capture disagree: page "), F.coalesce("response.page_id", F.lit("without id"))))
     return found.select(
-        F.col("response.page_id").cast(kind).alias("page_id"), F.col("response.payload_length").alias("payload_bytes"), "response.payload_digest",
-        F.col("response.type").alias("record_type"), F.col("response.refers_to").cast(kind).alias("refers_to"))
+        "response.page_id", F.when(whole, told).otherwise(error.cast("long")).alias("payload_bytes"), "response.payload_digest",
+        F.col("response.type").alias("record_type"), "response.refers_to")
+
+
+def capture_digests(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> DataFrame:
+    """``digests`` of the archives written from ``pages``, with page ids of their own type."""
+    write_archives(pages, path, least)
+    kind = pages.schema["page_id"].dataType
+    return digests(read_archives(pages.sparkSession, path)).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

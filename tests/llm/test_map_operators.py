@@ -199,7 +199,9 @@ def test_archives(spark, tmp_path):
              (6, "z", "small", "", 0), (7, "z", "small", "", 0), (None, "n", big, "", 0), (8, "t", tricky, "", 0), (9, "t", tricky, "", 0), (10, "l", "y" * 3_000_000, "", 0),
              (11, "e", warc.END, "", 0), (12, "v", warc.VERSION + "\r\n", "", 0)]
     frame = spark.createDataFrame(pages, PAGE).coalesce(2)
-    got = warc.capture_digests(frame, str(tmp_path / "w")).collect()
+    digests = warc.capture_digests(frame, str(tmp_path / "w"))
+    assert "Join" in digests._jdf.queryExecution().optimizedPlan().toString()  # requests and metadata take part
+    got = digests.collect()
     want = []
     for page, _, html, *_ in pages:
         body = (html or "").encode()
@@ -222,6 +224,19 @@ def test_assembly_of_incomplete_captures(spark):
     assert got["gone"].response is None and got["v"].requests is None
 
 
+@pytest.mark.parametrize("uri, told, whole", [("u", 3, True), ("other", 3, False), ("u", 4, False), ("u", None, False)])
+def test_captures_that_disagree(spark, uri, told, whole):
+    rows = [("response", "r", None, "1", "u", None, 3, None, b"abc"), ("request", "q", "r", "1", uri, None, None, None, b"")]
+    if told:
+        rows.append(("metadata", "m", "r", "1", "u", None, None, None, b"payload-length: %d\r\n" % told))
+    digests = warc.digests(spark.createDataFrame(rows, warc._RECORD))
+    if whole:
+        assert [tuple(r) for r in digests.collect()] == [("1", 3, hashlib.sha1(b"abc").hexdigest(), "response", None)]
+    else:
+        with pytest.raises(Exception, match="disagree: page 1"):
+            digests.collect()
+
+
 def fill(sums: list[tuple], weights, total, most):
     """Targets by sharing the excess again and again."""
     target = {}
