@@ -402,9 +402,10 @@ view(
 )
 view(
     "v_releases",
-    """SELECT DISTINCT repo, substr(d, 1, 7) || '-15' AS date,
-       CAST(CAST(substr(d, 1, 4) AS INT) - 1990 AS STRING) || '.' || CAST(CAST(substr(d, 6, 2) AS INT) AS STRING) AS version
-       FROM (SELECT repo, CAST(CAST(odate AS DATE) AS STRING) AS d FROM v_work WHERE odate >= TIMESTAMP '1995-03-01 00:00:00') w""",
+    """SELECT repo, month || '-15' AS date, CAST(CAST(substr(month, 1, 4) AS INT) - 1990 AS STRING) || '.' || CAST(CAST(substr(month, 6, 2) AS INT) AS STRING) AS version
+       FROM (SELECT repo, month, min(month) OVER (PARTITION BY repo) AS first_month
+         FROM (SELECT DISTINCT repo, substr(CAST(CAST(odate AS DATE) AS STRING), 1, 7) AS month FROM v_work) w) m
+       WHERE month > first_month""",
 )
 _MONTHS = "january february march april may june july august september october november december".split()
 _MONTH = "CASE page_id % 12 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MONTHS)) + " END"
