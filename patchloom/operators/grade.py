@@ -92,10 +92,11 @@ def grade_tests(runs: DataFrame, gold: DataFrame, status: DataFrame, keys: list[
     """(keys, repo, category, test, outcome) for every gold test of every run.
 
     ``runs`` has keys + repo and one row per graded log; ``gold`` has instance_id,
-    category and test; ``status`` has keys, test and status.
+    category and test; ``status`` has keys, test and status. All three grow with the logs, and
+    stored runs are a small part of their size in memory, so no side is broadcast by its files.
     """
-    wanted = runs.select(*keys, "repo").join(gold.select("instance_id", "category", "test"), "instance_id")
-    joined = wanted.join(status.select(*keys, "test", "status"), [*keys, "test"], "left")
+    wanted = runs.select(*keys, "repo").hint("merge").join(gold.select("instance_id", "category", "test"), "instance_id")
+    joined = wanted.join(status.select(*keys, "test", "status").hint("merge"), [*keys, "test"], "left")
     return joined.select(
         *keys, "repo", "category", "test", "status", outcome(F.col("status"), is_fail_only(F.col("repo"))).alias("outcome")
     )
@@ -132,8 +133,8 @@ def instance_reports(preds: DataFrame, logs: DataFrame, rates: DataFrame, keys:
 
     A run without gold rows has empty lists, hence rates of 1.
     """
-    joined = preds.join(logs.select(*keys, "found"), keys, "left").join(
-        rates.select(*keys, "f2p_rate", "p2p_rate"), keys, "left"
+    joined = preds.join(logs.select(*keys, "found").hint("merge"), keys, "left").join(
+        rates.select(*keys, "f2p_rate", "p2p_rate").hint("merge"), keys, "left"
     )
     has_patch = F.col("model_patch").isNotNull()
     applied = has_patch & F.coalesce("found", F.lit(False))

@@ -106,3 +106,34 @@ def test_work_list_rejects_unknown_ids(spark):
 def test_latest_prediction(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), ("a", 2, "y")], "instance_id string, seq long, model_patch string")
     assert grade.latest_predictions(df).first()["model_patch"] is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_large_sides_do_not_pass_through_the_driver(spark, tmp_path):
+    """Stored runs and parts of a fact table have small files but many rows."""
+    from patchloom.plans.views import load
+
+    keys = ["model", "instance_id"]
+    runs = spark.range(3).selectExpr("'m' model", "'i' || id instance_id", "'r/r' repo", "true found")
+    gold = spark.range(3).selectExpr("'i' || id instance_id", "'FAIL_TO_PASS' category", "'t' test")
+    status = spark.range(2).selectExpr("'m' model", "'i' || id instance_id", "'t' test", "'PASSED' status")
+    preds = spark.range(4).selectExpr("'m' model", "'i' || id instance_id", "'p' model_patch")
+    graded = grade.grade_tests(runs, gold, status, keys)
+    reports = grade.instance_reports(preds, runs, grade.grade_rates(graded, keys), keys)
+    assert "BroadcastHashJoin" not in _plan(reports)
+    assert {r["instance_id"]: r["resolved"] for r in reports.collect()} == {"i0": True, "i1": True, "i2": False, "i3": False}
+
+    rows = {
+        "orders": "id o_orderkey, id o_custkey, 'O' o_orderstatus, 1.0D o_totalprice, timestamp'1995-01-01' o_orderdate, 'm' o_orderpriority",
+        "customer": "id c_custkey, 'c' c_name, cast(id AS int) c_nationkey, 1.0D c_acctbal, 's' c_mktsegment",
+        "nation": "cast(id AS int) n_nationkey, 'n' n_name, 0 n_regionkey",
+        "lineitem": "id l_orderkey, id l_partkey, id l_suppkey, cast(id AS int) l_linenumber, 1.0D l_quantity",
+    }
+    for name, sql in rows.items():
+        spark.range(8).selectExpr(*sql.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    view = load(spark, str(tmp_path), "v_gold")
+    assert "SortMergeJoin [l_orderkey" in _plan(view)
+    assert view.count() == 8
