@@ -94,24 +94,28 @@ def _parse(record: bytes) -> tuple[dict[str, str], int, int]:
 
 
 def _glued(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; ``pieces`` is an archive, split at its borders."""
+    """(headers, block) of each record; ``pieces`` is an archive, split at its borders, or at some of them."""
     parts: list[bytes] = []
     size = need = start = 0
     head: dict[str, str] = {}
     for piece in pieces:
-        if parts:
-            parts.append(BORDER.encode())
-            parts.append(piece)
-            size += len(BORDER) + len(piece)
-        else:
-            piece = piece.removeprefix(VERSION.encode() + b"\r\n")
-            if not piece.strip():
-                continue
-            head, start, need = _parse(piece)
-            parts, size = [piece], len(piece)
-        if size >= start + need:
-            yield head, b"".join(parts)[start:start + need]
-            parts = []
+        while piece is not None:
+            if parts:
+                parts.append(BORDER.encode())
+                parts.append(piece)
+                size += len(BORDER) + len(piece)
+            else:
+                piece = piece.removeprefix(VERSION.encode() + b"\r\n")
+                if not piece.strip():
+                    break
+                head, start, need = _parse(piece)
+                parts, size = [piece], len(piece)
+            if size < start + need:
+                break
+            text = b"".join(parts)
+            yield head, text[start:start + need]
+            # the reader may miss a border that lies across two of its buffers: what follows is a record too
+            parts, piece = [], text[start + need + len(BORDER):] if text.startswith(BORDER.encode(), start + need) else None
     if parts:
         raise ValueError("an archive ends inside a record")
 
