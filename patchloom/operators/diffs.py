@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchloom.functions import text as tx
 
+TASK_BYTES = 32 << 20  # text of patches whose lines one task sorts
+
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 # The patterns by which model patches are cut into files and hunks.
@@ -38,6 +42,15 @@ JSON_CONFIG_VERSIONS = (
 SNAPSHOT_PATH = r"__snapshots__/(.*).js.snap$"
 
 
+def _tasks(diffs: DataFrame, patch: str) -> int:
+    """Tasks among which patches are dealt: their number grows with the text, so that the lines of each are sorted in memory.
+
+    Patches shrink much when shuffled; partitions joined by their shuffled size would hold too many lines.
+    """
+    size = diffs.agg(F.sum(F.octet_length(patch)).alias("n")).first()["n"] or 0
+    return max(1, math.ceil(size / TASK_BYTES))
+
+
 def diff_lines(diffs: DataFrame, key: str = "id", patch: str = "patch") -> DataFrame:
     """(key, line_no, line, file_no, hunk_no, kind) of every line.
 
@@ -63,7 +76,7 @@ def diff_lines(diffs: DataFrame, key: str = "id", patch: str = "patch") -> DataF
 
     # patches travel to their partition whole; their lines are made there and stay
     rows = (
-        diffs.select(key, patch).repartition(key)
+        diffs.select(key, patch).repartition(_tasks(diffs, patch), key)
         .select(key, F.posexplode(tx.lines(F.regexp_replace(patch, r"\n\z", ""))).alias("line_no", "line"))
         .filter((F.col("line_no") > 0) | (line != ""))
         .withColumn("is_hunk", line.startswith("@@ -") & line.rlike(p))

@@ -129,3 +129,14 @@ def test_directives_of_single_exercises(spark):
                                "instance_id string, repo string, test_patch string")
     got = {r["instance_id"]: r["directive"] for r in diffs.test_directives(df, script_repos=("x/ex",)).collect()}
     assert got == {"i": "test.py", "j": "a.b"}
+
+
+def test_tasks_grow_with_the_text_of_the_patches(spark, monkeypatch):
+    """Partitions joined by their small shuffled size would sort far more lines than memory holds."""
+    frame = spark.createDataFrame([(i, PATCH) for i in range(40)], "id int, patch string")
+    few = sorted(map(repr, diffs.diff_lines(frame).collect()))
+    monkeypatch.setattr(diffs, "TASK_BYTES", 4 * len(PATCH.encode()))
+    lines = diffs.diff_lines(frame)
+    assert lines.rdd.getNumPartitions() == 10
+    assert sorted(map(repr, lines.collect())) == few
+    assert diffs.diff_lines(frame.filter("false")).count() == 0
