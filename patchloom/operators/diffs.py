@@ -48,7 +48,7 @@ def _tasks(diffs: DataFrame, patch: str) -> int:
     Patches shrink much when shuffled; partitions joined by their shuffled size would hold too many lines.
     """
     size = diffs.agg(F.sum(F.octet_length(patch)).alias("n")).first()["n"] or 0
-    return max(1, math.ceil(size / TASK_BYTES))
+    return max(2, diffs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
 
 
 def diff_lines(diffs: DataFrame, key: str = "id", patch: str = "patch") -> DataFrame:
