@@ -10,7 +10,7 @@ from patchloom.operators import grade
 from patchloom.plans.catalog.grading import KEYS, _RATES, _STATES, _states
 from patchloom.plans.registry import query
 from patchloom.plans.views import load, table
-from patchloom.session import ensure_checkpoint_dir
+from patchloom.session import ensure_checkpoint_dir, pin
 from patchloom.sources import readers, writers
 from patchloom.streaming import jobs
 
@@ -88,9 +88,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     root = _folder(spark, "grade")
     logs = load(spark, sf_dir, "v_logs")
-    logs.repartition(3, *KEYS).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    gold = load(spark, sf_dir, "v_gold")
+    files = spark.sparkContext.defaultParallelism  # of each of three batches, so that all cores write and read them
+    logs.repartition(3 * files, *KEYS).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+    gold = pin(load(spark, sf_dir, "v_gold"))  # made once, not once a batch
     jobs.run_available(stream, f"{root}/checkpoint", each=jobs.grade_batches(gold, f"{root}/out", "pytest"))
     return spark.read.parquet(f"{root}/out").select(*KEYS, "resolution")
 

@@ -61,16 +61,16 @@ def keep_latest_tally(path: str):
 def grade_batches(gold: DataFrame, path: str, parser: str | None = None):
     """Batch writer that grades new logs (model, instance_id, repo, log).
 
-    A batch replaces its own folder, so a repeated batch leaves no second copy. Of the gold
-    rows only those of the batch's instances go on. Logs of unknown formats are not graded.
+    A batch replaces its own folder, so a repeated batch leaves no second copy. ``gold`` is read
+    for each batch, and joining its runs leaves only the rows of its instances; no list of them is
+    broadcast. Logs of unknown formats are not graded.
     """
     keys = ["model", "instance_id"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         logs = batch if parser else batch.withColumn("parser", parser_of(F.col("repo"), F.col("instance_id")))
         runs, status = grade.grade_logs(logs, keys, parser)
-        wanted = gold.join(runs.select("instance_id").distinct(), "instance_id", "left_semi")
-        rates = grade.grade_rates(grade.grade_tests(runs.filter("gradable"), wanted, status, keys), keys)
+        rates = grade.grade_rates(grade.grade_tests(runs.filter("gradable"), gold, status, keys), keys)
         out = rates.select(*keys, "f2p_rate", "p2p_rate", grade.resolution(F.col("f2p_rate"), F.col("p2p_rate")).alias("resolution"))
         out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

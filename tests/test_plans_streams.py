@@ -74,3 +74,30 @@ def test_ingest_resumes_from_its_checkpoint(spark, tmp_path):
     assert run() == ["a", "b"]
     write([("b", "3"), ("c", "1")])
     assert run() == ["a", "b", "c"]
+
+
+def test_graded_batches_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A batch of one file would be written and read by one task, however many logs there are."""
+    rows = {
+        "orders": "id o_orderkey, id o_custkey, 'O' o_orderstatus, 1.0D o_totalprice, timestamp'1995-01-01' o_orderdate, 'm' o_orderpriority",
+        "customer": "id c_custkey, 'c' c_name, cast(id % 5 AS int) c_nationkey, 1.0D c_acctbal, 's' c_mktsegment",
+        "nation": "cast(id AS int) n_nationkey, 'n' n_name, 0 n_regionkey",
+        "lineitem": "id % 300 l_orderkey, id l_partkey, id l_suppkey, cast(1 + id % 7 AS int) l_linenumber, 1.0D l_quantity",
+    }
+    for name, sql in rows.items():
+        spark.range({"nation": 25, "lineitem": 1000}.get(name, 400)).selectExpr(*sql.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    files, make = [], jobs.grade_batches
+
+    def watched(*given):
+        write = make(*given)
+
+        def each(batch, batch_id):
+            files.append(batch.select(F.input_file_name()).distinct().count())
+            write(batch, batch_id)
+
+        return each
+
+    monkeypatch.setattr(jobs, "grade_batches", watched)
+    found = QUERIES["stream_grade"](spark, str(tmp_path)).collect()
+    assert len(files) == 3 and min(files) > 1
+    assert found and sorted(found) == sorted(QUERIES["resolution"](spark, str(tmp_path)).collect())
