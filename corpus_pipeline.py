@@ -42,11 +42,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
+    """(doc_id, lang, source, n_tokens, ids, round_trip): token ids, and whether they decode to the text.
+
+    The ids are stored before they are decoded: a task that did both would hold two Python workers,
+    which stay with their executor for all stages that follow. Decoded bytes and text are compared
+    by SHA-256, so that texts need not be stored again.
+    """
     vocabulary = bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), vocabulary, "text", "ids")
+    coded = pin(coded.select("doc_id", "lang", "source", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
     back = bpe.decode(coded, vocabulary, "ids", "decoded")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip"))
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [

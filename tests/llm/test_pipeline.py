@@ -75,6 +75,14 @@ def test_stage_by_stage(spark, folder, tmp_path):
     assert seen["tokenize"].round_trip.all() and ids["tokenize"] == ids["mix"]
 
 
+def test_tokenize_holds_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "one é two", "en", "a"), (2, None, "en", "a"), (3, "", None, None)], "doc_id long, text string, lang string, source string")
+    out = corpus_pipeline.tokenize(spark, docs, SF)
+    # two in one stage need two workers for each task, and idle workers stay
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_tokens > 0, r.round_trip) for r in out.collect()} == {1: (True, True), 2: (False, True), 3: (False, True)}
+
+
 def test_stages_on_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
