@@ -206,7 +206,7 @@ def _(spark, sf_dir):
 
 
 def _ids(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
+    docs = tk.coded(load(spark, sf_dir, "documents"), "doc_id")
     return tk.token_ids(docs, tk.vocabulary(docs), "doc_id")
 
 
