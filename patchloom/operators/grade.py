@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from patchloom.functions import text as tx
@@ -88,14 +90,17 @@ def is_fail_only(repo: Column) -> Column:
     return repo.isin(*FAIL_ONLY_REPOS)
 
 
-def grade_tests(runs: DataFrame, gold: DataFrame, status: DataFrame, keys: list[str]) -> DataFrame:
+def grade_tests(
+    runs: DataFrame, gold: DataFrame, status: DataFrame, keys: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """(keys, repo, category, test, outcome) for every gold test of every run.
 
     ``runs`` has keys + repo and one row per graded log; ``gold`` has instance_id,
     category and test; ``status`` has keys, test and status. All three grow with the logs, and
     stored runs are a small part of their size in memory, so no side is broadcast by its files.
+    ``keep`` may store the gold tests of the runs, so that the shuffles before them can go.
     """
-    wanted = runs.select(*keys, "repo").hint("merge").join(gold.select("instance_id", "category", "test"), "instance_id")
+    wanted = keep(runs.select(*keys, "repo").hint("merge").join(gold.select("instance_id", "category", "test"), "instance_id"))
     joined = wanted.join(status.select(*keys, "test", "status").hint("merge"), [*keys, "test"], "left")
     return joined.select(
         *keys, "repo", "category", "test", "status", outcome(F.col("status"), is_fail_only(F.col("repo"))).alias("outcome")
@@ -153,12 +158,12 @@ def run_states(dataset: DataFrame, preds: DataFrame, reports: DataFrame) -> Data
 
     ``reports`` has instance_id and ``resolved``; a null ``resolved`` is a report
     that is empty, malformed or lacks its key. Such a run counts as completed and
-    as an error.
+    as an error. Both sides grow with the dataset and may be stored, so they join by sorting.
     """
     joined = (
         dataset.select("instance_id")
-        .join(preds.select("instance_id", "model_patch", F.lit(True).alias("has_pred")), "instance_id", "left")
-        .join(reports.select("instance_id", "resolved", F.lit(True).alias("has_report")), "instance_id", "left")
+        .join(preds.select("instance_id", "model_patch", F.lit(True).alias("has_pred")).hint("merge"), "instance_id", "left")
+        .join(reports.select("instance_id", "resolved", F.lit(True).alias("has_report")).hint("merge"), "instance_id", "left")
     )
     no_patch = F.coalesce("model_patch", F.lit("")) == ""
     state = (

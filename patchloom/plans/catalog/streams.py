@@ -10,7 +10,7 @@ from patchloom.operators import grade
 from patchloom.plans.catalog.grading import KEYS, _RATES, _STATES, _states
 from patchloom.plans.registry import query
 from patchloom.plans.views import load, table
-from patchloom.session import ensure_checkpoint_dir, pin
+from patchloom.session import ensure_checkpoint_dir, pin, tidy_shuffles
 from patchloom.sources import readers, writers
 from patchloom.streaming import jobs
 
@@ -56,9 +56,10 @@ def _(spark, sf_dir):
 @query("report_sink", f"""WITH {_STATES} SELECT state || '_ids' AS list_name, instance_id FROM states
   UNION ALL SELECT 'completed_ids', instance_id FROM states WHERE completed UNION ALL SELECT 'submitted_ids', instance_id FROM preds""")
 def _(spark, sf_dir):
-    states, preds = _states(spark, sf_dir)
     path = _folder(spark, writers.report_name("org/model", "run"))
-    writers.write_report(grade.run_report(states, preds), grade.run_report_ids(states, preds), path)
+    with tidy_shuffles(spark):
+        states, preds = _states(spark, sf_dir, pin)
+        writers.write_report(grade.run_report(states, preds), grade.run_report_ids(states, preds), path)
     return spark.read.schema("instance_id string, list_name string").json(f"{path}/ids").select("list_name", "instance_id")
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FOLDERS: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -61,6 +64,21 @@ def pin(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a write or an action go when it ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, so a job of several
+    pins holds the shuffles of all of them at once.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def refuse_unknown(ids: DataFrame, what: str) -> None:
     """Raise an error when there are ``ids`` (instance_id); it names the table that lists them all."""
     path = f"{ensure_checkpoint_dir(ids.sparkSession)}/unknown/{uuid.uuid4().hex}"

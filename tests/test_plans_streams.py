@@ -1,6 +1,8 @@
 """Plan shapes, and streams against their batch form."""
 
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,58 @@ def test_graded_batches_are_dealt_out(spark, tmp_path, monkeypatch):
     found = QUERIES["stream_grade"](spark, str(tmp_path)).collect()
     assert len(files) == 3 and min(files) > 1
     assert found and sorted(found) == sorted(QUERIES["resolution"](spark, str(tmp_path)).collect())
+
+
+def test_report_is_made_from_stored_states(spark, tmp_path, monkeypatch):
+    """Counts and ids made from the logs anew, each with all shuffles kept, took many times the input's disk."""
+    from patchloom.plans.catalog import streams
+
+    rows = {
+        "orders": "IF(id = 7, NULL, id % 390) o_orderkey, id % 390 o_custkey, 'O' o_orderstatus, 1.0D o_totalprice, timestamp'1995-01-01' o_orderdate, 'm' o_orderpriority",
+        "customer": "IF(id = 9, NULL, id) c_custkey, 'c' c_name, CAST(id % 5 AS INT) c_nationkey, 1.0D c_acctbal, 's' c_mktsegment",
+        "nation": "CAST(id AS INT) n_nationkey, 'n' n_name, 0 n_regionkey",
+        "lineitem": "IF(id = 5, NULL, id % 300) l_orderkey, id l_partkey, id l_suppkey, CAST(1 + id % 7 AS INT) l_linenumber, IF(id % 40 = 3, 50.0D, 1.0D) l_quantity",
+    }
+    for name, sql in rows.items():
+        spark.range({"nation": 25, "lineitem": 1000}.get(name, 400)).selectExpr(*re.split(r", (?=[^()]*(?:\(|$))", sql)).write.parquet(f"{tmp_path}/{name}.parquet")
+    tidy, write, written = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", streams.writers.write_report, {}
+
+    def watched(counts, ids, path):
+        written.update(tidy=spark.conf.get(tidy), counts=counts, ids=ids, path=path)
+        write(counts, ids, path)
+
+    monkeypatch.setattr(streams.writers, "write_report", watched)
+    before = spark.conf.get(tidy)
+    found = sorted(map(tuple, QUERIES["report_sink"](spark, str(tmp_path)).collect()))
+    assert found and found == sorted(map(tuple, QUERIES["run_report_ids"](spark, str(tmp_path)).collect()))
+    assert spark.read.json(f"{written['path']}/counts").first().asDict() == QUERIES["run_report"](spark, str(tmp_path)).first().asDict()
+    assert "Join" not in plan(written["counts"]) + plan(written["ids"])
+    assert written["tidy"] == "true" and spark.conf.get(tidy) == before
+
+
+def test_shuffles_of_a_pin_go_when_it_ends(spark):
+    from patchloom.session import pin, tidy_shuffles
+
+    def shuffles():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+
+    before = shuffles()
+    with tidy_shuffles(spark):
+        rows = pin(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and rows.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_stored_predictions_join_by_sorting(spark):
+    from patchloom.operators import grade
+    from patchloom.session import pin
+
+    data = spark.range(4).selectExpr("'i' || id instance_id")
+    preds = pin(spark.range(3).selectExpr("'i' || id instance_id", "IF(id = 0, '', 'p') model_patch"))
+    reports = pin(spark.range(2).selectExpr("'i' || id instance_id", "true resolved"))
+    states = grade.run_states(data, preds, reports)
+    assert "BroadcastHashJoin" not in plan(states)
+    assert {r["instance_id"]: r["state"] for r in states.collect()} == {"i0": "empty_patch", "i1": "resolved", "i2": "error", "i3": "incomplete"}
