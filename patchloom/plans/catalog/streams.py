@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path = _folder(spark, writers.report_name("org/model", "run"))
     with tidy_shuffles(spark):
-        states, preds = _states(spark, sf_dir, pin)
+        states, preds = _states(spark, sf_dir, partial(pin, compression="zstd"))
         writers.write_report(grade.run_report(states, preds), grade.run_report_ids(states, preds), path)
     return spark.read.schema("instance_id string, list_name string").json(f"{path}/ids").select("list_name", "instance_id")
 

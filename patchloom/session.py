@@ -52,15 +52,15 @@ def pinned_folder(spark: SparkSession) -> str:
     return _FOLDERS[application]
 
 
-def pin(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` once below the checkpoint folder and go on from that table.
+def pin(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once below the checkpoint folder and go on from that table; ``options`` go to the writer.
 
     Later stages read only the columns they need, know the size of the table, and
     survive the loss of any executor without repeating what made it.
     """
     spark = df.sparkSession
     path = path or f"{pinned_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
